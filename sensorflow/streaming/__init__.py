@@ -1,0 +1 @@
+"""Empty on purpose: the engine is batch only and has no streaming operator."""
