@@ -45,10 +45,12 @@ def forward_fill(
         window = Window.partitionBy(*by).orderBy(*order_by).rowsBetween(-rows, 0)
         return df.withColumn(column, F.last(column, ignorenulls=True).over(window))
 
-    cuts, depth = _cut_points(df, by, order_by, long_series, target)
-    chunked = _with_chunk(df, by, order_by, cuts, depth, "left")
-    inherited = _inherited_values(_with_chunk(df.select(*_unique(by + order_by + [column])), by, order_by, cuts, depth, "inner"),
-                                  column, by, order_by, rows)
+    hot = _renamed(df.sparkSession.createDataFrame([row[:-1] for row in long_series], df.select(*by).schema), by)
+    key = _unique(by + order_by)
+    cuts, size = _cut_points(df, by, order_by, hot, target)
+    chunked = _with_chunk(df, key, cuts, size)
+    narrow = _in_series(df.select(*_unique(key + [column])), hot, by)
+    inherited = _inherited_values(_with_chunk(narrow, key, cuts, size), column, by, order_by, rows)
 
     series = Window.partitionBy(*by, "_chunk").orderBy(*order_by)
     filled = chunked.select(
@@ -84,41 +86,35 @@ def _long_series(df: DataFrame, by: list[str], rows_per_task: int, max_chunks: i
 
 
 def _cut_points(
-    df: DataFrame, by: list[str], order_by: list[str], long_series: list[Row], target: int
-) -> tuple[DataFrame, int]:
-    """Per long series its sorted array of cut points, and the search depth they need.
-
-    The points are every n-th key of a random sample of about n keys per chunk.
-    Any points give the same fill; they only decide how even the chunks are.
-    They are fixed here once, because both reads of the data must use the same.
+    df: DataFrame, by: list[str], order_by: list[str], hot: DataFrame, target: int
+) -> tuple[Column, int]:
+    """Array literal of sorted keys (series, order) about ``target`` rows apart in long series, and its size.
+
+    They are every n-th key of a random sample of about n keys per chunk. Any
+    points give the same fill, they only decide how even the chunks are; so it
+    does no harm that the text form used to pass them may round a key. They are
+    fixed here once, because both reads of the data must use the same.
     """
-    spark = df.sparkSession
-    keys = df.select(*_unique(by + order_by))
-    rates = [(*row[:-1], min(1.0, SAMPLES_PER_CHUNK / target)) for row in long_series]
-    rate_schema = keys.select(*[F.col(name).alias(f"_by_{name}") for name in by]).schema.add("_rate", "double")
-    rate = spark.createDataFrame(rates, rate_schema)
-    sample = keys.join(F.broadcast(rate), _same(keys, rate, by)).filter(F.rand() < F.col("_rate")).select(*keys.columns)
+    names = _unique(by + order_by)
+    sample = _in_series(df.select(*names), hot, by).filter(F.rand() < min(1.0, SAMPLES_PER_CHUNK / target))
     ranked = sample.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order_by)))
-    points = ranked.filter(F.col("_n") % SAMPLES_PER_CHUNK == 0).select(*keys.columns)
-    rows = points.collect()
-    cuts = (
-        spark.createDataFrame(rows, points.schema)
-        .groupBy(*[F.col(name).alias(f"_by_{name}") for name in by])
-        .agg(F.sort_array(F.collect_list(_key(order_by))).alias("_cuts"))
-    )
-    return cuts, max(len(rows), 1).bit_length()
+    points = ranked.filter(F.col("_n") % SAMPLES_PER_CHUNK == 0).agg(F.collect_list(_key(names)).alias("points"))
+    text, size = points.select(F.to_json("points"), F.size("points")).first()
+    return F.sort_array(F.from_json(F.lit(text), points.schema["points"].dataType)), size
 
 
-def _with_chunk(df: DataFrame, by: list[str], order_by: list[str], cuts: DataFrame, depth: int, how: str) -> DataFrame:
-    """Number of cut points up to the row's key, found by halving steps; 0 for short series."""
-    joined = df.join(F.broadcast(cuts), _same(df, cuts, by), how)
-    steps = F.array(*[F.lit(2**power) for power in reversed(range(depth))])
-    chunk = F.aggregate(
-        steps,
-        F.lit(0),
-        lambda at, step: F.when(F.get("_cuts", at + step - 1) <= _key(order_by), at + step).otherwise(at),
-    )
-    return joined.select(*[df[name] for name in df.columns], chunk.alias("_chunk"))
+def _with_chunk(df: DataFrame, key: list[str], cuts: Column, size: int) -> DataFrame:
+    """Add the number of cut points up to the row's key, found by halving steps.
+
+    The optimizer folds the points to one literal that expressions hold by
+    reference; joined to the rows, the array would be copied per row. One
+    projection per step keeps the search in generated code.
+    """
+    found = df.withColumns({"_key": _key(key), "_chunk": F.lit(0)})
+    for power in reversed(range(size.bit_length())):
+        passed = F.get(cuts, F.col("_chunk") + (2**power - 1)) <= F.col("_key")
+        found = found.withColumn("_chunk", F.col("_chunk") + F.when(passed, 2**power).otherwise(0))
+    return found.drop("_key")
 
 
 def _inherited_values(
@@ -145,15 +141,23 @@ def _inherited_values(
     source = ended.withColumn("_source", F.last(known, ignorenulls=True).over(before))
     reach = F.col("_source.at") + rows - (F.col("_end") - F.col("_size"))
     return source.filter(reach >= 1).select(
-        *[F.col(name).alias(f"_by_{name}") for name in by],
-        F.col("_chunk").alias("_by__chunk"),
+        *[F.col(name).alias(f"_by_{name}") for name in [*by, "_chunk"]],
         F.col("_source.value").alias("_inherited"),
         reach.alias("_reach"),
     )
 
 
-def _key(order_by: list[str]) -> Column:
-    return F.struct(*[F.col(name).alias(f"k{i}") for i, name in enumerate(order_by)])
+def _key(names: list[str]) -> Column:
+    return F.struct(*[F.col(name).alias(f"k{i}") for i, name in enumerate(names)])
+
+
+def _renamed(df: DataFrame, by: list[str]) -> DataFrame:
+    return df.select(*[F.col(name).alias(f"_by_{name}") for name in by])
+
+
+def _in_series(df: DataFrame, hot: DataFrame, by: list[str]) -> DataFrame:
+    """Rows of the long series; there are at most ``max_chunks`` of those."""
+    return df.join(F.broadcast(hot), _same(df, hot, by), "left_semi")
 
 
 def _same(left: DataFrame, right: DataFrame, by: list[str]) -> Column:

@@ -24,6 +24,8 @@ TREES, DEPTH, MIN_GAIN = 100, 5, 0.01
 GRID_DEPTHS, GRID_GAINS, GRID_TREES = (0, 1, 5), (0.01, 0.001), (5, 10, 30, 100)
 FOLDS = 5
 
+ROWS_PER_PARTITION = 10_000
+
 
 @dataclass(frozen=True)
 class TunedForest:
@@ -49,6 +51,18 @@ def forest(trees: int = TREES, depth: int = DEPTH, min_gain: float = MIN_GAIN, s
     )
 
 
+def spread(df: DataFrame, key: Sequence[str] = ()) -> DataFrame:
+    """More partitions for a stored table that has few for its rows and is read many times.
+
+    Small tables stay as they are: each partition adds to what a tree level has
+    to merge. So do tables with at least half a partition per core, for which a
+    shuffle would cost more than it gains.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    wanted = min(cores, df.count() // ROWS_PER_PARTITION)
+    return df.repartition(wanted, *key) if 2 * df.rdd.getNumPartitions() < wanted else df
+
+
 def train(prepared: DataFrame, columns: Sequence[str], key: Sequence[str], **settings) -> tuple[PipelineModel, DataFrame]:
     """Fit on the training part; returns the model and the scored held-out rows.
 
@@ -58,7 +72,7 @@ def train(prepared: DataFrame, columns: Sequence[str], key: Sequence[str], **set
     indexer = index_labels(prepared)
     training, held_out = hash_split(prepared, key)
     stages = [indexer, assemble(columns), forest(**settings), name_predictions(indexer)]
-    model = Pipeline(stages=stages).fit(training)
+    model = Pipeline(stages=stages).fit(spread(training, key))
     return model, model.transform(held_out)
 
 
@@ -108,7 +122,7 @@ def tune(
         parallelism=parallelism,
         seed=seed,
     )
-    rows = assembler.transform(indexer.transform(training))
+    rows = assembler.transform(indexer.transform(spread(training)))
     found = search.fit(rows.select(INDEXED_LABEL, FEATURES, *([fold_column] if fold_column else [])))
     model = PipelineModel([indexer, assembler, found.bestModel, name_predictions(indexer)])
     settings = [estimator.maxDepth, estimator.minInfoGain, estimator.numTrees]

@@ -49,7 +49,7 @@ def run(
     mode: str = "baseline",
     baseline: Mapping | DataFrame = RESTING_HEART_RATE,
     folder: str | None = None,
-    subjects_at_once: int = 2,
+    subjects_at_once: int = 4,
     rows_per_task: int | None = ROWS_PER_TASK,
     **settings,
 ) -> RunResult:

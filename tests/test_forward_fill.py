@@ -6,9 +6,10 @@ from collections import defaultdict
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sensorflow.operators.clean import drop_transient, missing_to_null
-from sensorflow.operators.impute import MAX_CHUNKS, _long_series, forward_fill
+from sensorflow.operators.impute import MAX_CHUNKS, _cut_points, _long_series, _with_chunk, forward_fill
 
 SCHEMA = "subject string, timestamp double, row int, heart_rate double"
 
@@ -102,11 +103,9 @@ def test_the_number_of_chunks_is_bounded(spark):
 
 
 def test_chunks_are_about_the_wanted_size(spark):
-    from sensorflow.operators.impute import _cut_points, _with_chunk
-
     df = spark.range(60_000).selectExpr("'hot' AS subject", "id")
-    series, target = _long_series(df, ["subject"], 5_000, MAX_CHUNKS)
-    cuts, depth = _cut_points(df, ["subject"], ["id"], series, target)
-    sizes = [r["count"] for r in _with_chunk(df, ["subject"], ["id"], cuts, depth, "left").groupBy("_chunk").count().collect()]
+    hot = df.select(F.col("subject").alias("_by_subject")).distinct()
+    cuts, size = _cut_points(df, ["subject"], ["id"], hot, 5_000)
+    sizes = [r["count"] for r in _with_chunk(df, ["subject", "id"], cuts, size).groupBy("_chunk").count().collect()]
     assert sum(sizes) == 60_000
     assert max(sizes) < 20_000

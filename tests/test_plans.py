@@ -1,0 +1,77 @@
+"""What the physical plans must and must not contain."""
+
+import re
+
+import pytest
+
+from sensorflow.catalog import preparation, reports
+from sensorflow.catalog.preparation import LINE_KEYS, line_gaps
+from sensorflow.catalog.samples import sensor_samples
+from sensorflow.operators.audit import cleaning_counts
+from sensorflow.operators.clean import drop_transient
+from sensorflow.operators.evaluate import confusion
+from sensorflow.operators.impute import _cut_points, _renamed, _with_chunk, forward_fill
+from sensorflow.catalog.samples import rule_predictions
+from sensorflow.sources.text import read_subject_files
+
+
+def plan(df, mode="formatted"):
+    engine = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode
+    return df._jdf.queryExecution().explainString(engine.fromString(mode))
+
+
+@pytest.mark.parametrize("name", sorted({**preparation.ENTRIES, **reports.ENTRIES}))
+def test_no_query_crosses_joins_or_runs_python(name, spark, sf_dir):
+    build, _ = {**preparation.ENTRIES, **reports.ENTRIES}[name]
+    text = plan(build(spark, sf_dir))
+    for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "BatchEvalPython", "ArrowEvalPython"):
+        assert node not in text
+
+
+def test_transient_filter_reaches_the_text_scan(spark, tmp_path):
+    (tmp_path / "subject101.dat").write_text("0.0 1 100\n")
+    text = plan(drop_transient(read_subject_files(spark, str(tmp_path))))
+    assert "PushedFilters: [IsNotNull(activityID), Not(EqualTo(activityID,0))]" in text
+
+
+def test_audit_shuffles_flags_instead_of_sensor_columns(spark, sf_dir):
+    text = plan(cleaning_counts(sensor_samples(spark, sf_dir), ["event_id"], rows_per_task=None))
+    widths = [int(n) for n in re.findall(r"\) Exchange\nInput \[(\d+)\]", text)]
+    assert widths and max(widths) <= 7
+
+
+def test_short_series_need_one_shuffle(spark, sf_dir):
+    text = plan(forward_fill(line_gaps(spark, sf_dir), "reading", ["l_suppkey"], LINE_KEYS))
+    assert len(re.findall(r"\n\(\d+\) Exchange", text)) == 1
+    assert "Join" not in text
+
+
+def test_long_series_are_never_in_one_partition(spark, sf_dir):
+    text = plan(forward_fill(line_gaps(spark, sf_dir), "reading", ["l_linestatus"], LINE_KEYS, rows_per_task=500))
+    assert "SinglePartition" not in text
+    assert re.search(r"hashpartitioning\(l_linestatus#\d+, _chunk#\d+", text)
+    # Only the last rows of each chunk are shuffled to find inherited values.
+    assert len(re.findall(r"\n\(\d+\) WindowGroupLimit", text)) == 2
+
+
+def test_cut_points_are_a_literal(spark, sf_dir):
+    lines = line_gaps(spark, sf_dir)
+    hot = _renamed(lines.select("l_linestatus").distinct(), ["l_linestatus"])
+    cuts, size = _cut_points(lines, ["l_linestatus"], LINE_KEYS, hot, 500)
+    text = plan(_with_chunk(lines, ["l_linestatus", *LINE_KEYS], cuts, size))
+    assert size > 4
+    assert "from_json" not in text and "sort_array" not in text
+    assert "Join" not in text
+
+
+def test_confusion_is_counted_before_its_shuffle(spark, sf_dir):
+    text = plan(confusion(rule_predictions(spark, sf_dir)), "simple")
+    assert text.count("HashAggregate") == 2 and text.count("Exchange") == 1
+    assert "partial_count" in text
+
+
+def test_only_needed_columns_are_read(spark, sf_dir):
+    text = plan(preparation.ENTRIES["subject_catalogue_S1"][0](spark, sf_dir))
+    assert "ReadSchema: struct<>" in text
+    text = plan(confusion(rule_predictions(spark, sf_dir)))
+    assert "ReadSchema: struct<user_id:bigint,event_type:string,value:double>" in text
