@@ -17,6 +17,10 @@ def open_tables(sf_dir: str):
     return checker
 
 
+# The same type in both engines.
+TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
 def _cell(value):
     if isinstance(value, float) and math.isnan(value):
         return "nan"
@@ -41,6 +45,10 @@ def differences(df, checker, sql: str) -> list[str]:
     expected = cursor.fetchall()
     if sorted(df.columns) != sorted(expected_columns):
         return [f"columns {sorted(df.columns)} != {sorted(expected_columns)}"]
+    expected_types = dict(row[:2] for row in checker.execute(f"DESCRIBE {sql}").fetchall())
+    other_types = [f"{name} {kind} != {expected_types[name]}" for name, kind in df.dtypes if TYPES[kind] != expected_types[name]]
+    if other_types:
+        return other_types
     found = _rows(df.columns, df.collect())
     wanted = _rows(expected_columns, expected)
     if found == wanted:

@@ -7,7 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorflow.operators.audit import cleaning_counts, cleaning_report
@@ -21,6 +21,7 @@ from sensorflow.plans.prepare import prepare
 from sensorflow.schema import INDEXED_LABEL, LABEL, PREDICTED_LABEL, RESTING_HEART_RATE, SUBJECT, TIME
 from sensorflow.sources.dimensions import check_subjects
 from sensorflow.sources.storage import shared_folder, write_by_subject
+from sensorflow.sources.text import FILE_OFFSET, LINE_ORDER, ingest_subject_files
 
 MODES = ("baseline", "tuned")
 RESULT_COLUMNS = (LABEL, INDEXED_LABEL, "prediction", PREDICTED_LABEL)
@@ -55,6 +56,8 @@ def run(
 ) -> RunResult:
     """Prepare, train and score every subject; ``settings`` go to the forest or the grid search.
 
+    ``samples`` should be a stored table: it is read several times.
+
     Prepared rows and predictions are written once and read back, so model
     passes read Parquet and a lost executor costs no recomputation of the fill.
     Each fit is a distributed Spark ML job over one subject's directory;
@@ -91,6 +94,13 @@ def run(
     return RunResult(predictions, feature_importances(spark, models), cleaning, models)
 
 
+def run_files(spark: SparkSession, path: str | list[str], folder: str | None = None, **options) -> RunResult:
+    """Run over subjects' text files: they are parsed once into a stored table first."""
+    folder = folder or shared_folder(spark, "run")
+    samples = ingest_subject_files(spark, path, f"{folder}/samples")
+    return run(samples, [FILE_OFFSET, LINE_ORDER], folder=folder, **options)
+
+
 def write_and_read(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,7 +5,7 @@ from pyspark.ml.feature import StringIndexer
 from pyspark.sql import functions as F
 
 from sensorflow.catalog.models import KEY, prepared_series
-from sensorflow.catalog.samples import FOUR, TWO_SUBJECTS, sensor_samples, table
+from sensorflow.catalog.samples import FOUR, TWO_SUBJECTS, sample_lines, sensor_samples, table
 from sensorflow.operators.evaluate import confusion
 from sensorflow.operators.labels import label_index
 from sensorflow.operators.split import hash_split, random_split, with_fold
@@ -18,7 +18,7 @@ from sensorflow.plans.forest import (
     tune,
     tuning_grid,
 )
-from sensorflow.plans.run import run
+from sensorflow.plans.run import run, run_files
 
 
 @pytest.fixture(scope="module")
@@ -112,6 +112,19 @@ def test_run_reports_every_subject(spark, sf_dir, mode, settings):
     assert result.importances.groupBy("subject").agg(F.sum("value").alias("v")).filter("abs(v - 1) > 1e-9").count() == 0
 
 
+def test_run_over_text_files(spark, sf_dir, tmp_path):
+    samples = sensor_samples(spark, sf_dir, TWO_SUBJECTS, FOUR)
+    for subject in ("subject107", "subject108"):
+        lines = sample_lines(samples.filter(F.col("subject") == subject).orderBy("event_id")).collect()
+        (tmp_path / f"{subject}.dat").write_text("".join(row.value + "\n" for row in lines))
+    result = run_files(spark, str(tmp_path), trees=10)
+    from_table = run(samples, KEY, trees=10)
+    cleaning = result.report("Cleaning").orderBy("subject", "measure").collect()
+    assert cleaning == from_table.report("Cleaning").orderBy("subject", "measure").collect()
+    accuracy = result.report("Per_Subject").filter("measure = 'Accuracy'").collect()
+    assert [row.value for row in accuracy] == [1.0, 1.0]
+
+
 def test_run_refuses_unknown_modes_and_subjects(spark, sf_dir):
     samples = sensor_samples(spark, sf_dir, "'stranger'", FOUR)
     with pytest.raises(ValueError, match="unknown mode"):
