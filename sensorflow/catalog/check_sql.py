@@ -10,6 +10,9 @@ DOUBLES_KEPT = ["heart_rate", *SENSORS_KEPT]
 KEYS = ["subject", "event_id", '"timestamp"', "activityID"]
 KEPT = [*KEYS, *DOUBLES_KEPT]
 FEATURES = [*DOUBLES_KEPT, "heart_rate_minus_rest", "avg_temperature"]
+# Decimals of compared metrics. Shares of counts end within 9 decimals for class sizes up to
+# 512, so the last bit of a sum does not decide how a value is rounded.
+DIGITS = 9
 FRAME = "ROWS BETWEEN 20 PRECEDING AND CURRENT ROW"
 
 
@@ -91,7 +94,7 @@ SUBJECT_MEASURES = [
 CLASS_MEASURES = [("precision", "precision"), ("recall", "recall"), ("F1", "f1")]
 
 
-def long_form(rows: str, keys: str, measures, digits: int | None = 6) -> str:
+def long_form(rows: str, keys: str, measures, digits: int | None = DIGITS) -> str:
     def value(column: str) -> str:
         return column if digits is None else f"round({column}, {digits})"
 

@@ -175,14 +175,14 @@ def baseline_run(spark, sf_dir) -> RunResult:
 
 def run_report(spark, sf_dir):
     report = baseline_run(spark, sf_dir).report("Per_Subject")
-    return report.select("subject", "measure", F.round("value", 6).alias("value"))
+    return report.select("subject", "measure", F.round("value", sql.DIGITS).alias("value"))
 
 
 def tuned_run_report(spark, sf_dir):
     samples = sensor_samples(spark, sf_dir, TWO_SUBJECTS, FOUR)
     result = run(samples, KEY, mode="tuned", depths=(1, 5), gains=(0.01,), trees=(10, 30))
     report = result.report("Per_class")
-    return report.select("subject", "class", "measure", F.round("value", 6).alias("value"))
+    return report.select("subject", "class", "measure", F.round("value", sql.DIGITS).alias("value"))
 
 
 def _series(subject: str = ONE_SUBJECT) -> str:

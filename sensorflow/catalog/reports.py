@@ -26,7 +26,7 @@ CLASS_KEYS = ["subject", "class"]
 
 
 def rounded(df: DataFrame, keys: list[str], *columns: str) -> DataFrame:
-    return df.select(*keys, *[F.round(name, 6).alias(name) for name in columns])
+    return df.select(*keys, *[F.round(name, sql.DIGITS).alias(name) for name in columns])
 
 
 def indexed_predictions(spark, sf_dir):
@@ -83,11 +83,11 @@ def appended_measures(spark, sf_dir):
 
 
 def _class_sql(name: str) -> str:
-    return sql.RULE_METRICS + f"SELECT subject, class, round({name}, 6) AS {name} FROM class_metrics"
+    return sql.RULE_METRICS + f"SELECT subject, class, round({name}, {sql.DIGITS}) AS {name} FROM class_metrics"
 
 
 def _subject_sql(*names: str) -> str:
-    return sql.RULE_METRICS + f"SELECT subject, {', '.join(f'round({name}, 6) AS {name}' for name in names)} FROM subject_metrics"
+    return sql.RULE_METRICS + f"SELECT subject, {', '.join(f'round({name}, {sql.DIGITS}) AS {name}' for name in names)} FROM subject_metrics"
 
 
 INDEXED = f"""WITH predictions AS ({sql.RULE_PREDICTIONS_SQL}), label_indices AS ({sql.index_sql('predictions')}),
@@ -95,8 +95,8 @@ indexed AS (SELECT p.subject, p.event_id, p.label, p.predicted_label, t.indexed_
   FROM predictions p JOIN label_indices t ON p.subject = t.subject AND p.label = t.label
   LEFT JOIN label_indices q ON p.subject = q.subject AND p.predicted_label = q.label)
 """
-MICRO = """SELECT subject, round(accuracy, 6) AS micro_precision, round(accuracy, 6) AS micro_recall,
-round(accuracy, 6) AS micro_f1 FROM subject_metrics"""
+MICRO = f"""SELECT subject, round(accuracy, {sql.DIGITS}) AS micro_precision, round(accuracy, {sql.DIGITS}) AS micro_recall,
+round(accuracy, {sql.DIGITS}) AS micro_f1 FROM subject_metrics"""
 CLASS_LONG = sql.long_form("class_metrics", "subject, class", sql.CLASS_MEASURES)
 SUBJECT_LONG = sql.long_form("subject_metrics", "subject", sql.SUBJECT_MEASURES)
 CLEANING_LONG = sql.steps() + "," + sql.CLEANING + sql.long_form("counts", "subject", sql.CLEANING_MEASURES, None)
@@ -125,7 +125,7 @@ ENTRIES = {
     "accuracy_A7": (subject_columns("accuracy"), _subject_sql("accuracy")),
     "test_error_A8": (
         subject_columns("test_error"),
-        sql.RULE_METRICS + "SELECT subject, round(1 - accuracy, 6) AS test_error FROM subject_metrics",
+        sql.RULE_METRICS + f"SELECT subject, round(1 - accuracy, {sql.DIGITS}) AS test_error FROM subject_metrics",
     ),
     "micro_metrics_A9": (subject_columns("micro_precision", "micro_recall", "micro_f1"), sql.RULE_METRICS + MICRO),
     "class_precision_A10": (class_column("precision"), _class_sql("precision")),
