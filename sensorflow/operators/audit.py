@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorflow.functions.values import all_present
@@ -48,15 +48,15 @@ def cleaning_counts(
     shuffle, which then carries one flag instead of all sensor columns.
     """
     others = [c for c in samples.columns if DROPPED_QUANTITY not in c and c != signal]
-    named = F.coalesce(F.col(activity).isin(*names), F.lit(False))
+    named = _is_true(F.col(activity).isin(*names))
     flagged = missing_to_null(
         samples.select(
             subject,
             time,
             *tiebreak,
             signal,
-            F.coalesce(F.col(activity) == TRANSIENT_CODE, F.lit(False)).alias("transient"),
-            F.coalesce(F.col(activity) != TRANSIENT_CODE, F.lit(False)).alias("kept"),
+            _is_true(F.col(activity) == TRANSIENT_CODE).alias("transient"),
+            _is_true(F.col(activity) != TRANSIENT_CODE).alias("kept"),
             (all_present(samples, others) & named).alias("complete"),
         )
     )
@@ -69,5 +69,20 @@ def cleaning_counts(
     )
 
 
+def stored_counts(samples: DataFrame, prepared: DataFrame, subject: str = SUBJECT, activity: str = ACTIVITY) -> DataFrame:
+    """The same counts where the prepared rows are stored already: two narrow counts, no fill."""
+    read = samples.groupBy(subject).agg(
+        F.count("*").alias("all_rows"),
+        F.count_if(F.col(activity) == TRANSIENT_CODE).alias("transient_rows"),
+        F.count_if(F.col(activity) != TRANSIENT_CODE).alias("kept_rows"),
+    )
+    complete = prepared.groupBy(subject).agg(F.count("*").alias("complete_rows"))
+    return read.join(complete, subject, "left").fillna(0, ["complete_rows"])
+
+
+def _is_true(condition: Column) -> Column:
+    return F.coalesce(condition, F.lit(False))
+
+
 def cleaning_report(counts: DataFrame, subject: str = SUBJECT) -> DataFrame:
     return to_measures(counts, [subject], CLEANING_MEASURES)

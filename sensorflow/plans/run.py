@@ -10,7 +10,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorflow.operators.audit import cleaning_counts, cleaning_report
+from sensorflow.operators.audit import cleaning_report, stored_counts
 from sensorflow.operators.derive import feature_columns
 from sensorflow.operators.evaluate import class_metrics, class_report, confusion, subject_metrics, subject_report
 from sensorflow.operators.impute import ROWS_PER_TASK
@@ -68,8 +68,8 @@ def run(
     spark = samples.sparkSession
     folder = folder or shared_folder(spark, "run")
     check_subjects(samples, baseline)
-    cleaning = write_and_read(cleaning_counts(samples, tiebreak, rows_per_task=rows_per_task), f"{folder}/cleaning")
     prepared = write_by_subject(prepare(samples, tiebreak, baseline=baseline, rows_per_task=rows_per_task), f"{folder}/prepared")
+    cleaning = write_and_read(stored_counts(samples, prepared), f"{folder}/cleaning")
     key = [SUBJECT, *tiebreak]
     columns = feature_columns(prepared, key)
 

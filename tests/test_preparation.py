@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sensorflow.catalog.samples import sensor_samples
-from sensorflow.operators.audit import cleaning_counts, cleaning_report
+from sensorflow.operators.audit import cleaning_counts, cleaning_report, stored_counts
 from sensorflow.operators.derive import feature_columns, name_labels, subtract_baseline
 from sensorflow.operators.clean import drop_columns_like, drop_transient, missing_to_null, transient_rows
 from sensorflow.plans.prepare import clean, label_and_fill, prepare
@@ -139,6 +139,16 @@ def test_audit_equals_the_steps_one_by_one(spark, sf_dir):
         )
 
 
+def test_counts_of_stored_rows_equal_the_audit(spark, sf_dir):
+    # Subject `none` has only transient rows.
+    samples = sensor_samples(spark, sf_dir)
+    samples = samples.union(samples.filter("activityID = 0").withColumn("subject", F.lit("none")))
+    stored = stored_counts(samples, prepare(samples.filter("subject != 'none'"), ["event_id"]))
+    counts = cleaning_counts(samples, ["event_id"])
+    assert sorted(stored.collect()) == sorted(counts.collect())
+    assert stored.filter("subject = 'none'").first().complete_rows == 0
+
+
 def test_null_and_unknown_codes(spark):
     df = spark.createDataFrame([(0,), (1,), (16,), (99,), (None,)], "activityID int")
     assert [r.activityID for r in drop_transient(df).collect()] == [1, 16, 99]
