@@ -125,6 +125,13 @@ def test_run_over_text_files(spark, sf_dir, tmp_path):
     assert [row.value for row in accuracy] == [1.0, 1.0]
 
 
+def test_run_with_a_one_activity_subject(spark, sf_dir):
+    only_jumping = "CAST(CASE WHEN event_id % 7 = 0 THEN 0 WHEN user_id % 2 = 0 THEN 24 ELSE 1 + event_id % 4 END AS INT)"
+    result = run(sensor_samples(spark, sf_dir, TWO_SUBJECTS, only_jumping), KEY, trees=5)
+    values = {r.measure: r.value for r in result.report("Per_Subject").filter("subject = 'subject107'").collect()}
+    assert values["Accuracy"] == 1.0 and values["False_Pos_Rate"] is None
+
+
 def test_run_refuses_unknown_modes_and_subjects(spark, sf_dir):
     samples = sensor_samples(spark, sf_dir, "'stranger'", FOUR)
     with pytest.raises(ValueError, match="unknown mode"):
