@@ -11,8 +11,13 @@ from pyspark.sql import functions as F
 from sensorflow.schema import FILL_ROWS, HEART_RATE, SUBJECT, TIME
 
 ROWS_PER_TASK = 2_000_000
-MAX_CHUNKS = 50_000
+MAX_CHUNKS = 10_000
 SAMPLES_PER_CHUNK = 16
+# Keeps microseconds when keys are passed as text.
+EXACT_TIMES = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
 
 
 def forward_fill(
@@ -91,16 +96,15 @@ def _cut_points(
     """Array literal of sorted keys (series, order) about ``target`` rows apart in long series, and its size.
 
     They are every n-th key of a random sample of about n keys per chunk. Any
-    points give the same fill, they only decide how even the chunks are; so it
-    does no harm that the text form used to pass them may round a key. They are
-    fixed here once, because both reads of the data must use the same.
+    keys of long series give the same fill, they only decide how even the chunks
+    are. They are fixed here once, because both reads of the data must use the same.
     """
     names = _unique(by + order_by)
     sample = _in_series(df.select(*names), hot, by).filter(F.rand() < min(1.0, SAMPLES_PER_CHUNK / target))
     ranked = sample.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order_by)))
     points = ranked.filter(F.col("_n") % SAMPLES_PER_CHUNK == 0).agg(F.collect_list(_key(names)).alias("points"))
-    text, size = points.select(F.to_json("points"), F.size("points")).first()
-    return F.sort_array(F.from_json(F.lit(text), points.schema["points"].dataType)), size
+    text, size = points.select(F.to_json("points", EXACT_TIMES), F.size("points")).first()
+    return F.sort_array(F.from_json(F.lit(text), points.schema["points"].dataType, EXACT_TIMES)), size
 
 
 def _with_chunk(df: DataFrame, key: list[str], cuts: Column, size: int) -> DataFrame:

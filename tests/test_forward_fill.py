@@ -94,6 +94,19 @@ def test_text_order_keys_can_be_cut(spark):
     assert forward_fill(df, order_by=["k"], rows_per_task=11).orderBy("k").collect() == plain
 
 
+def test_series_and_order_may_be_times(spark):
+    # Series a microsecond apart: a cut of the long one must not fall into its neighbours.
+    df = spark.range(600).selectExpr(
+        "timestamp_micros(1700000000000000 + CASE WHEN id % 6 < 4 THEN 5 ELSE id % 6 END) AS series",
+        "cast(timestamp_micros(1700000000000000 + id) AS timestamp_ntz) AS at",
+        "CASE WHEN id % 37 = 0 THEN cast(id AS double) END AS heart_rate",
+    )
+    plain = forward_fill(df, by=["series"], order_by=["at"], rows_per_task=None)
+    chunked = forward_fill(df, by=["series"], order_by=["at"], rows_per_task=150)
+    assert chunked.exceptAll(plain).isEmpty()
+    assert plain.exceptAll(chunked).isEmpty()
+
+
 def test_the_number_of_chunks_is_bounded(spark):
     df = spark.range(10_000).selectExpr("CASE WHEN id < 9000 THEN 'hot' ELSE 's' || CAST(id AS STRING) END AS subject")
     series, target = _long_series(df, ["subject"], rows_per_task=10, max_chunks=100)
