@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorflow.llm import mixing, sharding, token_files, url_filter
+from sensorflow.llm import mixing, packing, quality, sharding, token_files, topk, url_filter
 from sensorflow.llm.staging import source, work_folder
 
 SHARD_BYTES = 32 << 20
@@ -14,6 +14,11 @@ URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.
 END_ID = 2
 
 
+def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents labelled good."""
+    return source(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+
+
 def op1_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = source(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"))
     return sharding.shard(docs, F.col("doc_id"), F.col("n_bytes"), SHARD_BYTES)
@@ -25,12 +30,27 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, rules).drop("url")
 
 
+def op4_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = source(spark, sf_dir, "documents").select("doc_id", "text")
+    weights = quality.fit(docs, trusted_ids(spark, sf_dir))
+    return quality.judged(docs, weights).drop("text")
+
+
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(source(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op7_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = source(spark, sf_dir, "documents").select("doc_id", "text", "source")
     planned = mixing.plan(docs)
     return planned.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = source(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end=END_ID)
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = source(spark, sf_dir, "documents").select("doc_id", "text")
     folder = work_folder(spark, "tokens")
@@ -41,7 +61,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_extendible_sharding": op1_extendible_sharding,
     "op2_url_filter": op2_url_filter,
+    "op4_quality_ratio": op4_quality_ratio,
+    "op5_exact_top_k": op5_exact_top_k,
     "op7_curriculum_mix": op7_curriculum_mix,
+    "op9_certified_packing": op9_certified_packing,
     "op10_token_files": op10_token_files,
 }
 
@@ -78,4 +101,15 @@ m AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN m USING (r)
 """
 
-SQL = {"op1_extendible_sharding": OP1_SQL, "op2_url_filter": OP2_SQL}
+OP5_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q::DOUBLE[], b.q::DOUBLE[])::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
+"""
+
+SQL = {"op5_exact_top_k": OP5_SQL, "op1_extendible_sharding": OP1_SQL, "op2_url_filter": OP2_SQL}
