@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorflow.llm import mixing, packing, quality, sharding, token_files, topk, url_filter
+from sensorflow.llm import mixing, near_dedup, packing, quality, sharding, token_files, topk, url_filter
 from sensorflow.llm.staging import source, work_folder
 
 SHARD_BYTES = 32 << 20
@@ -30,6 +30,11 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, rules).drop("url")
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = source(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dedup.near_duplicates(docs, width=3, percent=85)
+
+
 def op4_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = source(spark, sf_dir, "documents").select("doc_id", "text")
     weights = quality.fit(docs, trusted_ids(spark, sf_dir))
@@ -61,6 +66,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_extendible_sharding": op1_extendible_sharding,
     "op2_url_filter": op2_url_filter,
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_quality_ratio": op4_quality_ratio,
     "op5_exact_top_k": op5_exact_top_k,
     "op7_curriculum_mix": op7_curriculum_mix,
