@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorflow.llm import mixing, near_dedup, packing, quality, sharding, token_files, topk, url_filter
+from sensorflow.llm import mixing, near_dedup, packing, quality, sharding, suffix_dedup, token_files, topk, url_filter
 from sensorflow.llm.staging import source, work_folder
 
 SHARD_BYTES = 32 << 20
@@ -51,6 +51,10 @@ def op7_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(source(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = source(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end=END_ID)
@@ -70,6 +74,7 @@ QUERIES = {
     "op4_quality_ratio": op4_quality_ratio,
     "op5_exact_top_k": op5_exact_top_k,
     "op7_curriculum_mix": op7_curriculum_mix,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_certified_packing": op9_certified_packing,
     "op10_token_files": op10_token_files,
 }
