@@ -123,9 +123,11 @@ def judged(docs: DataFrame, weights: list[int], text: str = "text", threshold: f
             "llr": F.aggregate("__grams", F.lit(0).cast("long"), lambda acc, b: acc + F.get(table, b)),
         }
     ).drop("__grams")
-    passed = F.col("llr") >= round(threshold * SCALE) * F.col("n_grams")
+    # Always true; not deterministic, so a filter on the result stays above it and does not compute the words anew for each use.
+    here = F.monotonically_increasing_id() >= 0
+    passed = here & (F.col("llr") >= round(threshold * SCALE) * F.col("n_grams"))
     return scored.withColumn("score", F.when(F.col("n_grams") > 0, F.col("llr") / F.col("n_grams") / SCALE).otherwise(0.0)).withColumn(
-        "kept", ~F.col("base_failed") & passed
+        "kept", passed & ~F.col("base_failed")
     )
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorflow.llm import mixing, near_dedup, packing, quality, sharding, suffix_dedup, token_files, topk, url_filter
+from sensorflow.llm import mixing, near_dedup, packing, quality, secret_scan, sharding, suffix_dedup, token_files, topk, url_filter
 from sensorflow.llm.staging import source, work_folder
 
 SHARD_BYTES = 32 << 20
@@ -45,6 +45,10 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(source(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op6_secret_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.summary(secret_scan.scan(source(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op7_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = source(spark, sf_dir, "documents").select("doc_id", "text", "source")
     planned = mixing.plan(docs)
@@ -73,6 +77,7 @@ QUERIES = {
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_quality_ratio": op4_quality_ratio,
     "op5_exact_top_k": op5_exact_top_k,
+    "op6_secret_novelty": op6_secret_novelty,
     "op7_curriculum_mix": op7_curriculum_mix,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_certified_packing": op9_certified_packing,
