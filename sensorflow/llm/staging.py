@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,3 +32,8 @@ def stored(df: DataFrame, path: str) -> DataFrame:
 
 def source(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def worker_memo() -> dict:
+    """A dictionary that lasts as long as this Python process: a reused worker runs many tasks."""
+    return vars(sys).setdefault("_corpus_worker_memo", {})

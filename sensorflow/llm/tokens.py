@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import re
 
+from sensorflow.llm.staging import worker_memo
+
 ANYWHERE = re.compile(r"(?<=\S)(?= \S)")
 # Letters that no normal form or lower-casing turns into a letter and a mark: Latin, Greek, Cyrillic, kana, Han, Hangul.
 LETTERS = "A-Za-zÀ-ÖØ-öø-įĲ-ɏΑ-ΡΣ-Ωα-ωЀ-ҁҊ-ԯぁ-ゖァ-ヺ一-鿿가-힣"
@@ -20,7 +22,7 @@ class Encoder:
     Texts of letters, digits, ASCII punctuation and single spaces or line ends are cut before spaces, around line ends
     and between a letter or digit and punctuation; other texts only before a single space between two
     other characters. So the ids of the pieces put together are the ids of the text. Pieces repeat: each distinct one is
-    encoded once and kept, at most MAX_CACHED (about 200 MB) at a time. Special tokens written in a text are ordinary text.
+    encoded once and kept for all tasks of the worker, at most MAX_CACHED (about 200 MB) at a time. Special tokens written in a text are ordinary text.
     """
 
     def __init__(self, path: str, dtype: str = "<u4"):
@@ -33,7 +35,7 @@ class Encoder:
         self.array, self.dtype = np.array, np.dtype(dtype)
         if self.tokenizer.get_vocab_size() > 2 ** (8 * self.dtype.itemsize):
             raise ValueError(f"{dtype} is too small for {self.tokenizer.get_vocab_size()} ids")
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = worker_memo().setdefault(("ids", path, dtype), {})
 
     def _learn(self, pieces: list[str]) -> None:
         unknown = list({piece for piece in pieces if piece not in self.cache})
