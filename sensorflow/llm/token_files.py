@@ -124,4 +124,5 @@ def read_documents(spark: SparkSession, folder: str, key: str = "doc_id", with_i
 
     index = read_index(spark, folder)
     schema = "key long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
-    return index.repartition("part").mapInArrow(read, schema).withColumnRenamed("key", key)
+    parts = max(1, index.count())  # a row per partition: as many tasks, however small the rows
+    return index.repartition(parts, "part").mapInArrow(read, schema).withColumnRenamed("key", key)
