@@ -142,8 +142,11 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     columns = [f"`{c}`" for c in docs.columns]
     marked = docs.withColumn("__content", F.xxhash64(*[F.col(c).cast("string") for c in columns]))
     planned = plan(marked, text=text, source=source, key=key, folder=folder, keep=("__content",), **options)
-    copies = positions(planned).select(F.col(f"`{key}`").alias("__key"), F.col("__content").alias("__c"), "position", "epoch", "__row")
+    copies = positions(planned).select(
+        F.col(f"`{key}`").alias("__key"), F.col("__content").alias("__same"), F.col("position").alias("__position"), "__row", F.col("epoch").alias("__epoch")
+    )
     first = Window.partitionBy(f"`{key}`", "__content").orderBy(F.lit(0))
     single = marked.withColumn("__nth", F.row_number().over(first)).filter("__nth = 1")
-    joined = single.join(copies, single[key].eqNullSafe(copies["__key"]) & (F.col("__content") == F.col("__c")))
-    return joined.repartitionByRange("position", "__row", "epoch").sortWithinPartitions("position", "__row", "epoch").select(*columns)
+    joined = single.join(copies, single[key].eqNullSafe(copies["__key"]) & (F.col("__content") == F.col("__same")))
+    order = ["__position", "__row", "__epoch"]
+    return joined.repartitionByRange(*order).sortWithinPartitions(*order).select(*columns)

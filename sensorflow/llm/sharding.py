@@ -62,14 +62,18 @@ def shard(rows: DataFrame, key: Column, size: Column, limit: int, folder: str |
     Null keys count as an empty text, null or negative sizes as 0. Identical rows are separate rows.
     Input columns keep their names; names that this function adds replace input columns of that name.
     """
-    added = ["shard", "shard_bytes", "shard_rows", "shard_depth"]
     spark, folder = rows.sparkSession, folder or work_folder(rows.sparkSession, "shard")
-    named = rows.withColumn("__size", F.greatest(F.coalesce(size.cast("long"), F.lit(0)), F.lit(0))).withColumn("__w0", hash_bits(key))
-    named = named.drop(*added)
-    kept = [c for c in named.columns if not c.startswith("__")]
-    whole = F.to_json(F.struct(*[F.col(f"`{c}`") for c in kept]), {"ignoreNullFields": "false"}) if kept else F.lit("")
-    named = named.withColumn("__w1", hash_bits(whole)).withColumn("__w2", hash_bits(F.monotonically_increasing_id()))
-    current = stored(named.withColumn("__path", F.lit("")), f"{folder}/rows")
+    kept = [c for c in rows.columns if c not in ("shard", "shard_bytes", "shard_rows", "shard_depth")]
+    whole = F.struct(*[F.col(f"`{c}`") for c in kept])
+    current = rows.select(
+        whole.alias("__row"),
+        F.greatest(F.coalesce(size.cast("long"), F.lit(0)), F.lit(0)).alias("__size"),
+        hash_bits(key).alias("__w0"),
+        hash_bits(F.to_json(whole, {"ignoreNullFields": "false"})).alias("__w1"),
+        hash_bits(F.monotonically_increasing_id()).alias("__w2"),
+        F.lit("").alias("__path"),
+    )
+    current = stored(current, f"{folder}/rows")
 
     done, level = [], 0
     levels = WORDS * WORD_BITS // CELL_BITS
@@ -93,7 +97,7 @@ def shard(rows: DataFrame, key: Column, size: Column, limit: int, folder: str |
         ended = placed if last else placed.filter(~F.col("__open"))
         done.append(
             ended.select(
-                *[f"`{c}`" for c in kept],
+                *[F.col("__row")[c].alias(c) for c in kept],
                 F.concat(F.lit("b"), "__path", "bits").alias("shard"),
                 "shard_bytes",
                 "shard_rows",
