@@ -25,11 +25,11 @@ KINDS = ("assign", "access", "hex", "novel")
 
 SENSITIVE = re.compile(
     r"(?:password|passwd|passphrase|secret|token|api_?key|private_?key|access_?key|auth|bearer|credential|signature|cookie|session)"
-    r"[A-Za-z_]{0,20}[\"']?\x20{0,4}(?:[:=]|=>|is|\x20)\x20{0,4}[\"']?([A-Za-z0-9+/_=-]{16,})",
+    r"[A-Za-z_]{0,20}[\"']?\x20{0,4}(?:[:=]|=>|is|\x20)\x20{0,4}[\"']?([A-Za-z0-9+/_=-]{20,})",
     re.IGNORECASE | re.ASCII,
 )
 IDENTIFIERS = (
-    "abstract", "access", "account", "address", "admin", "allocate", "application", "argument", "array", "assert", "async", "attribute", "authorization",
+    "abstract", "access", "account", "address", "admin", "allocate", "application", "argument", "array", "assert", "async", "attribute", "authentication", "authorization",
     "await", "backend", "basic", "bearer", "boolean", "bucket", "buffer", "cache", "callback", "catch", "certificate", "changeme", "character", "class",
     "client", "column", "command", "config", "configuration", "connection", "const", "constructor", "container", "content", "context", "controller", "cookie",
     "count", "create", "credential", "current", "database", "datetime", "default", "delete", "description", "directory", "document", "domain", "double",
@@ -41,10 +41,10 @@ IDENTIFIERS = (
     "pattern", "permission", "placeholder", "pointer", "position", "prefix", "private", "process", "production", "project", "property", "protected", "protocol",
     "provider", "public", "python", "query", "random", "record", "reference", "register", "release", "remote", "replace", "request", "required", "resource",
     "response", "result", "return", "sample", "schema", "script", "secret", "select", "server", "service", "session", "settings", "signature", "source", "static",
-    "status", "string", "struct", "success", "template", "testing", "thread", "timeout", "timestamp", "token", "transaction", "undefined", "unsigned", "update",
+    "status", "string", "struct", "success", "template", "testing", "thread", "timeout", "timestamp", "token", "transaction", "undefined", "unsigned", "update", "user", "username", "value", "variable", "version",
 )
 AROUND = 256
-NOVELTY = 0.45
+NOVELTY = 0.6
 REPLACEMENT = "<secret>"
 
 
