@@ -2,7 +2,7 @@
 
 import pytest
 
-from sensorflow.catalog.compare import differences, open_tables
+from compare import differences, open_tables
 from sensorflow.llm.queries import QUERIES, SQL
 
 
