@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from pyspark.sql import Window
@@ -71,7 +72,11 @@ def best_time(work) -> float:
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    spark = local_session(os.environ.get("BENCH_CPUS", "8"))
+    with tempfile.TemporaryDirectory() as folder:
+        measure(sf_dir, local_session(os.environ.get("BENCH_CPUS", "8"), folder=f"file://{folder}"))
+
+
+def measure(sf_dir: str, spark) -> None:
     seconds = {name: best_time(lambda: drain(QUERIES[name](spark, sf_dir))) for name in HEADLINE}
     shapes = {name: best_time(lambda: shape(spark, sf_dir)) for name, shape in SHAPES.items()}
     result = {

@@ -154,7 +154,7 @@ def transient_count(spark, sf_dir):
 
 
 def distribution(spark, sf_dir):
-    return class_distribution(label_and_fill(clean(sensor_samples(spark, sf_dir)), TIEBREAK))
+    return class_distribution(name_labels(clean(sensor_samples(spark, sf_dir))))
 
 
 def filled_heart_rate(spark, sf_dir):

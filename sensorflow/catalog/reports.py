@@ -19,7 +19,7 @@ from sensorflow.operators.evaluate import (
     subject_report,
     true_classes,
 )
-from sensorflow.operators.labels import label_index, with_label_index
+from sensorflow.operators.labels import class_distribution, index_of_counts, label_index, with_label_index
 from sensorflow.operators.report import append_measures, select_report
 
 CLASS_KEYS = ["subject", "class"]
@@ -37,6 +37,12 @@ def indexed_predictions(spark, sf_dir):
     return with_label_index(true, index, "predicted_label", "prediction")
 
 
+def indexed_counts(spark, sf_dir):
+    """Rows per true label with the label's index: the predictions are counted before the index is looked up."""
+    counts = class_distribution(rule_predictions(spark, sf_dir).filter("label IS NOT NULL"))
+    return with_label_index(counts, index_of_counts(counts))
+
+
 def per_class(spark, sf_dir):
     return class_metrics(confusion(rule_predictions(spark, sf_dir)))
 
@@ -64,11 +70,10 @@ def line_report(spark, sf_dir):
 
 
 def all_reports(spark, sf_dir):
-    classes = per_class(spark, sf_dir)
     return {
-        "Per_class": class_report(classes),
-        "Per_Subject": subject_report(subject_metrics(classes)),
-        "Cleaning": cleaning_report(cleaning_counts(sensor_samples(spark, sf_dir), ["event_id"])),
+        "Per_class": lambda: class_report(per_class(spark, sf_dir)),
+        "Per_Subject": lambda: subject_report(per_subject(spark, sf_dir)),
+        "Cleaning": lambda: cleaning_report(cleaning_counts(sensor_samples(spark, sf_dir), ["event_id"])),
     }
 
 
@@ -78,7 +83,7 @@ def chosen_report(kind, keys):
 
 def appended_measures(spark, sf_dir):
     reports = all_reports(spark, sf_dir)
-    measures = append_measures(reports["Cleaning"], reports["Per_Subject"])
+    measures = append_measures(reports["Cleaning"](), reports["Per_Subject"]())
     return rounded(measures, ["subject", "measure"], "value")
 
 
@@ -115,11 +120,11 @@ ENTRIES = {
         sql.RULE_METRICS + "SELECT * FROM confusion",
     ),
     "index_labels_A5": (
-        lambda spark, sf_dir: index_label_table(indexed_predictions(spark, sf_dir)),
+        lambda spark, sf_dir: index_label_table(indexed_counts(spark, sf_dir)),
         INDEXED + "SELECT subject, indexed_label, label, count(*) AS count FROM indexed GROUP BY ALL",
     ),
     "true_classes_A6": (
-        lambda spark, sf_dir: true_classes(indexed_predictions(spark, sf_dir)),
+        lambda spark, sf_dir: true_classes(indexed_counts(spark, sf_dir)),
         INDEXED + "SELECT DISTINCT subject, indexed_label FROM indexed",
     ),
     "accuracy_A7": (subject_columns("accuracy"), _subject_sql("accuracy")),
@@ -154,7 +159,7 @@ CASE WHEN l_linestatus = 'O' THEN 'N' WHEN l_quantity < 25 THEN 'A' ELSE 'R' END
 {sql.METRICS}{SUBJECT_LONG}""",
     ),
     "classes_in_order_O1": (
-        lambda spark, sf_dir: classes_in_order(index_label_table(indexed_predictions(spark, sf_dir))),
+        lambda spark, sf_dir: classes_in_order(index_label_table(indexed_counts(spark, sf_dir))),
         INDEXED + "SELECT subject, indexed_label, label, count(*) AS count FROM indexed GROUP BY ALL ORDER BY subject, indexed_label",
     ),
     "appended_measures_U1": (

@@ -15,6 +15,8 @@ from sensorflow.schema import SENSOR_COLUMNS, SENSOR_SCHEMA
 VARIED = "CAST(CASE WHEN event_id % 29 = 0 THEN NULL WHEN event_id % 97 = 0 THEN 99 ELSE event_id % 25 END AS INT)"
 # Activity of an event: transient, or one of four that the acceleration shows.
 FOUR = "CAST(CASE WHEN event_id % 7 = 0 THEN 0 ELSE 1 + event_id % 4 END AS INT)"
+# Activity of an event: transient, or one of two of unequal share that the acceleration shows.
+UNEQUAL = "CAST(CASE WHEN event_id % 7 = 0 THEN 0 WHEN event_id % 3 = 0 THEN 4 ELSE 1 END AS INT)"
 NINE_SUBJECTS = "'subject' || CAST(101 + user_id % 9 AS STRING)"
 TWO_SUBJECTS = "'subject' || CAST(107 + user_id % 2 AS STRING)"
 NAN = "CAST('NaN' AS DOUBLE)"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sensorflow.functions.values import all_present
 from sensorflow.operators.clean import missing_to_null
+from sensorflow.operators.derive import with_baseline
 from sensorflow.operators.impute import ROWS_PER_TASK, forward_fill
 from sensorflow.operators.report import to_measures
 from sensorflow.schema import (
@@ -17,6 +18,7 @@ from sensorflow.schema import (
     DROPPED_QUANTITY,
     FILL_ROWS,
     HEART_RATE,
+    RESTING_HEART_RATE,
     SUBJECT,
     TIME,
     TRANSIENT_CODE,
@@ -40,9 +42,12 @@ def cleaning_counts(
     signal: str = HEART_RATE,
     rows: int = FILL_ROWS,
     rows_per_task: int | None = ROWS_PER_TASK,
+    baseline: Mapping | DataFrame = RESTING_HEART_RATE,
 ) -> DataFrame:
     """Per subject: all rows, transient rows, rows kept, rows complete after the fill.
 
+    A row of a subject without a baseline is incomplete: it has no residual.
+
     Kept and transient rows form separate series, so a transient row never feeds
     the fill. Whether the other columns are complete is decided before the
     shuffle, which then carries one flag instead of all sensor columns.
@@ -58,15 +63,18 @@ def cleaning_counts(
             _is_true(F.col(activity) == TRANSIENT_CODE).alias("transient"),
             _is_true(F.col(activity) != TRANSIENT_CODE).alias("kept"),
             (all_present(samples, others) & named).alias("complete"),
-        )
+        ),
+        [subject, *tiebreak],
     )
     filled = forward_fill(flagged, signal, [subject, "kept"], [time, *tiebreak], rows, rows_per_task)
-    return filled.groupBy(subject).agg(
+    counts = filled.groupBy(subject).agg(
         F.count("*").alias("all_rows"),
         F.count_if("transient").alias("transient_rows"),
         F.count_if("kept").alias("kept_rows"),
         F.count_if(F.col("kept") & F.col("complete") & F.col(signal).isNotNull()).alias("complete_rows"),
     )
+    complete = F.when(F.col("_level").isNotNull(), F.col("complete_rows")).otherwise(0)
+    return with_baseline(counts, baseline, "_level", subject).withColumn("complete_rows", complete).drop("_level")
 
 
 def stored_counts(samples: DataFrame, prepared: DataFrame, subject: str = SUBJECT, activity: str = ACTIVITY) -> DataFrame:

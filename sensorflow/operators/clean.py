@@ -25,9 +25,9 @@ def drop_columns_like(df: DataFrame, part: str = DROPPED_QUANTITY) -> DataFrame:
     return df.drop(*[name for name in df.columns if part in name])
 
 
-def missing_to_null(df: DataFrame) -> DataFrame:
-    """NaN in numbers and the missing-value texts in strings become null."""
-    return df.select(*[null_if_missing(name, dtype) for name, dtype in df.dtypes])
+def missing_to_null(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """NaN in numbers and the missing-value texts in strings become null; ``keys`` stay as they are."""
+    return df.select(*[F.col(name) if name in keys else null_if_missing(name, dtype) for name, dtype in df.dtypes])
 
 
 def drop_incomplete(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -16,23 +16,46 @@ MEAN_TEMPERATURE = "avg_temperature"
 NOT_FEATURES = (TIME, ACTIVITY, LABEL)
 
 
+def with_baseline(
+    df: DataFrame, baseline: Mapping | DataFrame, output: str, subject: str = SUBJECT, column: str | None = None
+) -> DataFrame:
+    """Add the subject's baseline, null for a subject without one.
+
+    A mapping becomes a literal. Of a table, ``column`` holds the baseline; it may be left out where the
+    table has one column besides the subject. Two rows for one subject are an error when they are read. The table
+    is joined without a broadcast hint: its size is not known here, so Spark decides.
+    """
+    if not isinstance(baseline, DataFrame):
+        return df.withColumn(output, literal_map(baseline)[F.col(subject)])
+    if column is None:
+        others = [name for name in baseline.columns if name != subject]
+        if len(others) != 1:
+            raise ValueError(f"name the baseline column, one of {others}")
+        column = others[0]
+    twice = F.raise_error(F.concat(F.lit("two baselines for subject "), F.col(subject).cast("string")))
+    levels = baseline.groupBy(subject).agg(F.count("*").alias("_rows"), F.first(column).alias("_level"))
+    single = levels.select(subject, F.when(F.col("_rows") > 1, twice).otherwise(F.col("_level")).alias(output))
+    return df.join(single, subject, "left")
+
+
 def subtract_baseline(
     df: DataFrame,
     baseline: Mapping | DataFrame,
     value: str = HEART_RATE,
     output: str = RESIDUAL,
     subject: str = SUBJECT,
+    strict: bool = False,
+    column: str | None = None,
 ) -> DataFrame:
-    """Value minus the subject's baseline.
+    """Value minus the subject's baseline, see :func:`with_baseline`.
 
-    A mapping becomes a literal. A table ``(subject, baseline)`` is joined
-    without a broadcast hint: its size is not known here, so Spark decides.
+    ``strict`` makes a subject without a baseline an error when its rows are
+    read; else its residuals are null.
     """
-    if isinstance(baseline, DataFrame):
-        level = next(name for name in baseline.columns if name != subject)
-        joined = df.join(baseline.select(subject, F.col(level).alias("_level")), subject, "left")
-        return joined.withColumn(output, F.col(value) - F.col("_level")).drop("_level")
-    return df.withColumn(output, F.col(value) - literal_map(baseline)[F.col(subject)])
+    leveled = with_baseline(df, baseline, "_level", subject, column)
+    unknown = F.raise_error(F.concat(F.lit("no baseline for subject "), F.coalesce(F.col(subject).cast("string"), F.lit("null"))))
+    level = F.coalesce(F.col("_level"), unknown.cast("double")) if strict else F.col("_level")
+    return leveled.withColumn(output, F.col(value) - level).drop("_level")
 
 
 def name_labels(

@@ -38,8 +38,12 @@ def confusion(predictions: DataFrame, by: Sequence[str] = BY_SUBJECT) -> DataFra
 
 
 def index_label_table(predictions: DataFrame, by: Sequence[str] = BY_SUBJECT) -> DataFrame:
-    """Which label each class index stands for, with its rows."""
-    return predictions.groupBy(*by, INDEXED_LABEL, LABEL).agg(F.count("*").alias("count"))
+    """Which label each class index stands for, with its rows.
+
+    Also takes rows counted before, with their number in ``count``.
+    """
+    rows = F.sum("count") if "count" in predictions.columns else F.count("*")
+    return predictions.groupBy(*by, INDEXED_LABEL, LABEL).agg(rows.alias("count"))
 
 
 def true_classes(predictions: DataFrame, by: Sequence[str] = BY_SUBJECT) -> DataFrame:

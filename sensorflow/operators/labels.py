@@ -20,8 +20,12 @@ def label_index(df: DataFrame, label: str = LABEL, by: Sequence[str] = (SUBJECT,
 
     The ranking runs over one row per label, not over the samples.
     """
+    return index_of_counts(class_distribution(df.filter(F.col(label).isNotNull()), label, by), label, by)
+
+
+def index_of_counts(counts: DataFrame, label: str = LABEL, by: Sequence[str] = (SUBJECT,)) -> DataFrame:
+    """The same from a class distribution without null labels."""
     ranked = Window.partitionBy(*by).orderBy(F.desc("count"), label)
-    counts = class_distribution(df.filter(F.col(label).isNotNull()), label, by)
     return counts.withColumn(INDEXED_LABEL, (F.row_number().over(ranked) - 1).cast("double"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 
@@ -19,7 +19,8 @@ def append_measures(report: DataFrame, more: DataFrame) -> DataFrame:
     return report.unionByName(more)
 
 
-def select_report(reports: Mapping[str, DataFrame], kind: str = "Per_class") -> DataFrame:
+def select_report(reports: Mapping[str, Callable[[], DataFrame]], kind: str = "Per_class") -> DataFrame:
+    """Build the wanted report only."""
     if kind not in REPORTS:
         raise ValueError(f"unknown report {kind!r}, choose from {REPORTS}")
-    return reports[kind]
+    return reports[kind]()

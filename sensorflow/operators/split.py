@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorflow.functions.values import row_hash
@@ -28,3 +28,14 @@ def random_split(df: DataFrame, percent: int = TRAIN_PERCENT, seed: int = SEED)
 def with_fold(df: DataFrame, key: Sequence[str], folds: int = 5, output: str = "fold") -> DataFrame:
     """Fold number from a hash of the key; a subject key keeps subjects together."""
     return df.withColumn(output, (row_hash(key) % folds).cast("int"))
+
+
+def with_group_fold(df: DataFrame, group: Sequence[str], folds: int = 5, output: str = "fold") -> DataFrame:
+    """Fold number by group: the distinct groups take turns in the order of their hash.
+
+    No fold is empty while there are at least as many groups as folds. The order is one
+    sort of a row per group; the numbers are joined to the rows without a hint.
+    """
+    turns = Window.orderBy(row_hash(group), *group)
+    groups = df.select(*group).distinct().withColumn(output, ((F.row_number().over(turns) - 1) % folds).cast("int"))
+    return df.join(groups, list(group))

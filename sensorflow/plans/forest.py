@@ -14,7 +14,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorflow.operators.split import hash_split
+from sensorflow.operators.split import hash_split, with_fold
 from sensorflow.schema import INDEXED_LABEL, LABEL, PREDICTED_LABEL, SEED, SUBJECT
 
 FEATURES = "features"
@@ -24,7 +24,8 @@ TREES, DEPTH, MIN_GAIN = 100, 5, 0.01
 GRID_DEPTHS, GRID_GAINS, GRID_TREES = (0, 1, 5), (0.01, 0.001), (5, 10, 30, 100)
 FOLDS = 5
 
-ROWS_PER_PARTITION = 10_000
+ROWS_PER_PARTITION = 20_000
+FOLD = "_fold"
 
 
 @dataclass(frozen=True)
@@ -51,16 +52,14 @@ def forest(trees: int = TREES, depth: int = DEPTH, min_gain: float = MIN_GAIN, s
     )
 
 
-def spread(df: DataFrame, key: Sequence[str] = ()) -> DataFrame:
-    """More partitions for a stored table that has few for its rows and is read many times.
+def placed(df: DataFrame, key: Sequence[str], rows: int) -> DataFrame:
+    """Training rows laid out by their key and ``rows`` alone.
 
-    Small tables stay as they are: each partition adds to what a tree level has
-    to merge. So do tables with at least half a partition per core, for which a
-    shuffle would cost more than it gains.
+    A forest draws its samples by partition and place in it. Rows go to
+    ``rows / ROWS_PER_PARTITION`` partitions by a hash of the key and are sorted by it, so the
+    same rows and seed give the same forest on any machine and from any files.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    wanted = min(cores, df.count() // ROWS_PER_PARTITION)
-    return df.repartition(wanted, *key) if 2 * df.rdd.getNumPartitions() < wanted else df
+    return df.repartition(max(1, -(-rows // ROWS_PER_PARTITION)), *key).sortWithinPartitions(*key)
 
 
 def train(prepared: DataFrame, columns: Sequence[str], key: Sequence[str], **settings) -> tuple[PipelineModel, DataFrame]:
@@ -71,8 +70,9 @@ def train(prepared: DataFrame, columns: Sequence[str], key: Sequence[str], **set
     """
     indexer = index_labels(prepared)
     training, held_out = hash_split(prepared, key)
+    rows = placed(training.select(*key, LABEL, *columns), key, prepared.count())
     stages = [indexer, assemble(columns), forest(**settings), name_predictions(indexer)]
-    model = Pipeline(stages=stages).fit(spread(training, key))
+    model = Pipeline(stages=stages).fit(rows)
     return model, model.transform(held_out)
 
 
@@ -84,8 +84,6 @@ def tuning_grid(
 ) -> list[dict]:
     return (
         ParamGridBuilder()
-        .addGrid(estimator.labelCol, [INDEXED_LABEL])
-        .addGrid(estimator.featuresCol, [FEATURES])
         .addGrid(estimator.maxDepth, depths)
         .addGrid(estimator.minInfoGain, gains)
         .addGrid(estimator.numTrees, trees)
@@ -96,21 +94,22 @@ def tuning_grid(
 def tune(
     training: DataFrame,
     columns: Sequence[str],
+    key: Sequence[str],
     indexer: StringIndexerModel | None = None,
     folds: int = FOLDS,
     fold_column: str = "",
-    parallelism: int = 4,
+    parallelism: int = 8,
     seed: int = SEED,
     **grid,
 ) -> TunedForest:
     """Cross-validated grid search by accuracy, best forest refitted on all of ``training``.
 
     Only the forest is searched: rows are indexed and assembled before the
-    folds, not once per fit. Without ``fold_column`` folds are seeded random.
+    folds, not once per fit. Without ``fold_column`` a hash of ``key`` gives the fold.
     """
     indexer = indexer or index_labels(training)
     assembler = assemble(columns)
-    estimator = RandomForestClassifier(seed=seed)
+    estimator = RandomForestClassifier(labelCol=INDEXED_LABEL, featuresCol=FEATURES, seed=seed)
     points = tuning_grid(estimator, **grid)
     accuracy = MulticlassClassificationEvaluator(labelCol=INDEXED_LABEL, predictionCol="prediction", metricName="accuracy")
     search = CrossValidator(
@@ -118,12 +117,13 @@ def tune(
         estimatorParamMaps=points,
         evaluator=accuracy,
         numFolds=folds,
-        foldCol=fold_column,
+        foldCol=fold_column or FOLD,
         parallelism=parallelism,
         seed=seed,
     )
-    rows = assembler.transform(indexer.transform(spread(training)))
-    found = search.fit(rows.select(INDEXED_LABEL, FEATURES, *([fold_column] if fold_column else [])))
+    folded = training if fold_column else with_fold(training, key, folds, FOLD)
+    rows = assembler.transform(indexer.transform(placed(folded, key, training.count())))
+    found = search.fit(rows.select(INDEXED_LABEL, FEATURES, fold_column or FOLD))
     model = PipelineModel([indexer, assembler, found.bestModel, name_predictions(indexer)])
     settings = [estimator.maxDepth, estimator.minInfoGain, estimator.numTrees]
     scores = [(*[point[p] for p in settings], float(score)) for point, score in zip(points, found.avgMetrics)]
@@ -134,9 +134,10 @@ def grid_scores(spark: SparkSession, tuned: TunedForest) -> DataFrame:
     return spark.createDataFrame(tuned.scores, "max_depth int, min_info_gain double, num_trees int, accuracy double")
 
 
-def best_parameters(spark: SparkSession, model: PipelineModel) -> DataFrame:
-    chosen = model.stages[2].extractParamMap()
-    return spark.createDataFrame([(p.name, str(value)) for p, value in chosen.items()], "parameter string, value string")
+def best_parameters(spark: SparkSession, tuned: TunedForest) -> DataFrame:
+    """The searched parameters of the first grid point with the best score."""
+    best = max(tuned.scores, key=lambda row: row[-1])
+    return spark.createDataFrame([best[:3]], "max_depth int, min_info_gain double, num_trees int")
 
 
 def feature_importances(spark: SparkSession, models: Mapping[str, PipelineModel]) -> DataFrame:

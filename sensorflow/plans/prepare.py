@@ -22,10 +22,16 @@ def label_and_fill(
     baseline: Mapping | DataFrame = RESTING_HEART_RATE,
     rows: int = FILL_ROWS,
     rows_per_task: int | None = ROWS_PER_TASK,
+    strict: bool = True,
 ) -> DataFrame:
-    """Nulls, heart-rate fill, residual and label; incomplete rows still present."""
-    filled = forward_fill(missing_to_null(cleaned), HEART_RATE, [SUBJECT], [TIME, *tiebreak], rows, rows_per_task)
-    return name_labels(subtract_baseline(filled, baseline))
+    """Nulls, heart-rate fill, residual and label; incomplete rows still present.
+
+    A subject without a baseline is an error when its rows are read. With
+    ``strict=False`` its residuals are null and its rows incomplete.
+    """
+    nulled = missing_to_null(cleaned, [SUBJECT, *tiebreak])
+    filled = forward_fill(nulled, HEART_RATE, [SUBJECT], [TIME, *tiebreak], rows, rows_per_task)
+    return name_labels(subtract_baseline(filled, baseline, strict=strict))
 
 
 def prepare(samples: DataFrame, tiebreak: Sequence[str], **options) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+import hashlib
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
+from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,33 +19,73 @@ from sensorflow.operators.evaluate import class_metrics, class_report, confusion
 from sensorflow.operators.impute import ROWS_PER_TASK
 from sensorflow.operators.report import select_report
 from sensorflow.operators.split import hash_split
-from sensorflow.plans.forest import feature_importances, index_labels, train, tune
+from sensorflow.plans.forest import feature_importances, grid_scores, index_labels, train, tune
 from sensorflow.plans.prepare import prepare
 from sensorflow.schema import INDEXED_LABEL, LABEL, PREDICTED_LABEL, RESTING_HEART_RATE, SUBJECT, TIME
 from sensorflow.sources.dimensions import check_subjects
-from sensorflow.sources.storage import shared_folder, write_by_subject
+from sensorflow.sources.storage import read_by_subject, shared_folder, write_by_subject
 from sensorflow.sources.text import FILE_OFFSET, LINE_ORDER, ingest_subject_files
 
 MODES = ("baseline", "tuned")
 RESULT_COLUMNS = (LABEL, INDEXED_LABEL, "prediction", PREDICTED_LABEL)
+DONE = f"{SUBJECT} string, reason string"
+IMPORTANCES = f"{SUBJECT} string, feature string, value double"
+SCORES = f"{SUBJECT} string, max_depth int, min_info_gain double, num_trees int, accuracy double"
+
+
+class StoredModels(Mapping):
+    """Models by subject, each loaded from the run's folder when it is asked for."""
+
+    def __init__(self, folder: str, finished: DataFrame):
+        self.folder, self.finished = folder, finished.filter("reason IS NULL").select(SUBJECT)
+
+    def __getitem__(self, subject: str) -> PipelineModel:
+        if self.finished.filter(F.col(SUBJECT) == subject).isEmpty():
+            raise KeyError(subject)
+        return PipelineModel.load(subject_path(self.folder, "models", subject))
+
+    def __iter__(self) -> Iterator[str]:
+        return (row[0] for row in self.finished.orderBy(SUBJECT).toLocalIterator())
+
+    def __len__(self) -> int:
+        return self.finished.count()
 
 
 @dataclass(frozen=True)
 class RunResult:
+    """Tables of a run, all stored: predictions of held-out rows, importances, cleaning counts, scores of the
+    grid points (empty for the baseline), and subjects without a model with the reason."""
+
     predictions: DataFrame
     importances: DataFrame
     cleaning: DataFrame
-    models: dict[str, PipelineModel] = field(repr=False)
+    scores: DataFrame
+    skipped: DataFrame
+    models: StoredModels
+    prepared: DataFrame
 
     def report(self, kind: str = "Per_class") -> DataFrame:
-        per_class = class_metrics(confusion(self.predictions))
+        classes = lambda: class_metrics(confusion(self.predictions))
         reports = {
-            "Per_class": class_report(per_class),
-            "Per_Subject": subject_report(subject_metrics(per_class)),
-            "Cleaning": cleaning_report(self.cleaning),
+            "Per_class": lambda: class_report(classes()),
+            "Per_Subject": lambda: subject_report(subject_metrics(classes())),
+            "Cleaning": lambda: cleaning_report(self.cleaning),
         }
         return select_report(reports, kind)
 
+    def best_parameters(self) -> DataFrame:
+        """Per subject the searched parameters of the first grid point with the best score."""
+        first = F.struct(-F.col("accuracy"), "max_depth", -F.col("min_info_gain"), "num_trees")
+        return self.scores.groupBy(SUBJECT).agg(F.min_by(F.struct("max_depth", "min_info_gain", "num_trees", "accuracy"), first).alias("b")).select(SUBJECT, "b.*")
+
+    def score_all(self, subject: str) -> DataFrame:
+        """All prepared rows of a subject, training rows included, scored by its model."""
+        return self.models[subject].transform(self.prepared.filter(F.col(SUBJECT) == subject))
+
+
+def subject_path(folder: str, kind: str, subject: str) -> str:
+    return f"{folder}/{kind}/run={hashlib.md5(subject.encode()).hexdigest()}"
+
 
 def run(
     samples: DataFrame,
@@ -62,45 +105,105 @@ def run(
     passes read Parquet and a lost executor costs no recomputation of the fill.
     Each fit is a distributed Spark ML job over one subject's directory;
     ``subjects_at_once`` of them run side by side. Both modes score held-out rows.
+
+    Subjects are read one by one and all results go to ``folder``, so the driver holds no list of them. A subject that
+    has no training rows or whose fit fails is in ``skipped``; the others are finished. A second call with the same
+    folder and arguments goes on where the first one stopped.
     """
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}, choose from {MODES}")
     spark = samples.sparkSession
     folder = folder or shared_folder(spark, "run")
-    check_subjects(samples, baseline)
-    prepared = write_by_subject(prepare(samples, tiebreak, baseline=baseline, rows_per_task=rows_per_task), f"{folder}/prepared")
-    cleaning = write_and_read(stored_counts(samples, prepared), f"{folder}/cleaning")
+    prepared_path = f"{folder}/prepared"
+    if not written(spark, prepared_path):
+        check_subjects(samples, baseline)
+        write_by_subject(prepare(samples, tiebreak, baseline=baseline, rows_per_task=rows_per_task), prepared_path)
+    prepared = read_by_subject(spark, prepared_path)
+    if not written(spark, f"{folder}/cleaning"):
+        stored_counts(samples, prepared).write.parquet(f"{folder}/cleaning")
+    cleaning = spark.read.parquet(f"{folder}/cleaning")
     key = [SUBJECT, *tiebreak]
     columns = feature_columns(prepared, key)
 
-    def score(position: int, subject: str) -> tuple[PipelineModel, str]:
+    def fit(subject: str) -> None:
+        """Model, importances, scores and predictions of one subject, and last a row that says it is done."""
         rows = prepared.filter(F.col(SUBJECT) == subject)
-        if mode == "tuned":
-            training, held_out = hash_split(rows, key)
-            model = tune(training, columns, indexer=index_labels(rows), **settings).model
-            scored = model.transform(held_out)
-        else:
-            model, scored = train(rows, columns, key, **settings)
-        path = f"{folder}/predictions/{position:06d}"
-        scored.select(*key, TIME, *RESULT_COLUMNS).write.parquet(path)
-        return model, path
-
-    # One entry per model to fit.
-    subjects = [row[0] for row in prepared.select(SUBJECT).distinct().orderBy(SUBJECT).collect()]
-    with ThreadPoolExecutor(subjects_at_once) as pool:
-        scored = list(pool.map(score, range(len(subjects)), subjects))
-    models = {subject: model for subject, (model, _) in zip(subjects, scored)}
-    predictions = spark.read.parquet(*[path for _, path in scored])
-    return RunResult(predictions, feature_importances(spark, models), cleaning, models)
+        reason, training = None, hash_split(rows, key)[0]
+        try:
+            if training.isEmpty():
+                reason = "no training rows"
+            else:
+                model, scored, scores = fitted(rows)
+                model.write().overwrite().save(subject_path(folder, "models", subject))
+                write(feature_importances(spark, {subject: model}), "importances", subject)
+                if scores is not None:
+                    write(scores.withColumn(SUBJECT, F.lit(subject)), "scores", subject)
+                write(scored.select(*key, TIME, *RESULT_COLUMNS), "predictions", subject)
+        except Exception as error:  # the other subjects go on; the run reports this one
+            reason = f"{type(error).__name__}: {error}"[:500]
+        write(spark.createDataFrame([(subject, reason)], DONE), "finished", subject)
+
+    def fitted(rows: DataFrame) -> tuple[PipelineModel, DataFrame, DataFrame | None]:
+        if mode == "baseline":
+            return *train(rows, columns, key, **settings), None
+        training, held_out = hash_split(rows, key)
+        tuned = tune(training, columns, key, indexer=index_labels(rows), **settings)
+        return tuned.model, tuned.model.transform(held_out), grid_scores(spark, tuned)
+
+    def write(df: DataFrame, kind: str, subject: str) -> None:
+        df.write.mode("overwrite").parquet(subject_path(folder, kind, subject))
+
+    finished = read_runs(spark, folder, "finished", DONE)
+    waiting = prepared.select(SUBJECT).distinct().join(finished.select(SUBJECT), SUBJECT, "left_anti").orderBy(SUBJECT)
+    in_turn(inheritable_thread_target(spark)(fit), (row[0] for row in waiting.toLocalIterator()), subjects_at_once)
+
+    finished = read_runs(spark, folder, "finished", DONE)
+    kinds = {name: kind for name, kind in prepared.dtypes}
+    scored = ", ".join([*[f"`{name}` {kinds[name]}" for name in [*key, TIME]], f"{LABEL} string, {INDEXED_LABEL} double, prediction double, {PREDICTED_LABEL} string"])
+    return RunResult(
+        read_runs(spark, folder, "predictions", scored),
+        read_runs(spark, folder, "importances", IMPORTANCES),
+        cleaning,
+        read_runs(spark, folder, "scores", SCORES),
+        finished.filter("reason IS NOT NULL"),
+        StoredModels(folder, finished),
+        prepared,
+    )
+
+
+def in_turn(work: Callable[[str], None], items: Iterator[str], at_once: int) -> None:
+    """Work on a few items at a time."""
+    with ThreadPoolExecutor(at_once) as pool:
+        running = set()
+        for item in items:
+            if len(running) >= at_once:
+                done, running = wait(running, return_when=FIRST_COMPLETED)
+                for one in done:
+                    one.result()
+            running.add(pool.submit(work, item))
+        for one in running:
+            one.result()
+
+
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether a Parquet table was written whole: unfinished writes leave no files to read a schema from."""
+    try:
+        return bool(spark.read.parquet(path).columns)
+    except AnalysisException:
+        return False
+
+
+def read_runs(spark: SparkSession, folder: str, kind: str, schema: str) -> DataFrame:
+    """A result of all subjects; empty where none has it."""
+    if not written(spark, f"{folder}/{kind}"):
+        return spark.createDataFrame([], schema)
+    names = spark.createDataFrame([], schema).columns
+    return spark.read.schema(f"{schema}, run string").parquet(f"{folder}/{kind}").select(*[f"`{name}`" for name in names])
 
 
 def run_files(spark: SparkSession, path: str | list[str], folder: str | None = None, **options) -> RunResult:
     """Run over subjects' text files: they are parsed once into a stored table first."""
     folder = folder or shared_folder(spark, "run")
-    samples = ingest_subject_files(spark, path, f"{folder}/samples")
+    parsed = f"{folder}/samples"
+    samples = read_by_subject(spark, parsed) if written(spark, parsed) else ingest_subject_files(spark, path, parsed)
     return run(samples, [FILE_OFFSET, LINE_ORDER], folder=folder, **options)
-
-
-def write_and_read(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: int | str = "*", memory: str = "12g") -> SparkSession:
+def local_session(cores: int | str = "*", memory: str = "12g", folder: str | None = None) -> SparkSession:
+    """A session on this machine; ``folder`` takes the tables that jobs write for later jobs."""
     partitions = "8" if cores == "*" else str(cores)
+    builder = SparkSession.builder if folder is None else SparkSession.builder.config("spark.checkpoint.dir", folder)
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName("sensorflow")
         .config("spark.sql.shuffle.partitions", partitions)
         .config("spark.sql.adaptive.enabled", "true")

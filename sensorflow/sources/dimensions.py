@@ -25,10 +25,14 @@ def literal_map(entries: Mapping):
 
 
 def check_subjects(df: DataFrame, baseline: Mapping | DataFrame, subject: str = SUBJECT) -> None:
-    """Raise when a subject has no baseline; it would otherwise lose all its rows unnoticed."""
+    """Raise when a subject has no baseline, or a null one, or a baseline table has two rows for one."""
     subjects = df.select(subject).distinct()
     if isinstance(baseline, DataFrame):
-        unknown = subjects.join(baseline.select(subject).distinct(), subject, "left_anti")
+        doubled = baseline.groupBy(subject).agg(F.count("*").alias("_rows")).filter("_rows > 1")
+        twice = [row[0] for row in doubled.limit(20).collect()]
+        if twice:
+            raise ValueError(f"two baselines for subjects such as {twice}")
+        unknown = subjects.join(baseline.dropna().select(subject), subject, "left_anti")
     else:
         known = F.coalesce(F.col(subject).isin(*baseline), F.lit(False))
         unknown = subjects.filter(~known)

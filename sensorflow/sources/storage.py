@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from sensorflow.schema import SUBJECT
 
@@ -13,14 +13,12 @@ from sensorflow.schema import SUBJECT
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder path that every executor can reach.
 
-    Uses the folder the cluster names in ``spark.checkpoint.dir``. Only a local
-    master without that setting falls back to a temporary folder.
+    It lies in the folder named by ``spark.checkpoint.dir`` or, where that is
+    unset, given to ``SparkContext.setCheckpointDir``.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        base = tempfile.mkdtemp(prefix="sensorflow-")
+        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -35,6 +33,11 @@ def write_by_subject(df: DataFrame, path: str, subject: str = SUBJECT) -> DataFr
 
 
 def read_by_subject(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """Read a subject-partitioned table; a filter on subject prunes directories."""
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(path)
+    """Read a subject-partitioned table; a filter on subject prunes directories.
+
+    Subjects are text as in the directory names: ``001`` stays ``001``.
+    """
+    if schema is None:
+        found = spark.read.parquet(path).schema
+        schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == SUBJECT else f.dataType) for f in found])
+    return spark.read.schema(schema).parquet(path)

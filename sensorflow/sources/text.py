@@ -24,7 +24,8 @@ def read_subject_files(
 ) -> DataFrame:
     """All subjects' files as one table with a ``subject`` column.
 
-    The subject is the first group of ``subject_pattern`` in the file path.
+    The subject is the first group of ``subject_pattern`` in the file path, with
+    percent signs decoded; a path that does not match is an error when it is read.
     Files are split between tasks, so one large file is no bottleneck.
     ``file_offset`` is where the split of a row starts in its file; see
     :func:`with_line_order`.
@@ -37,8 +38,11 @@ def read_subject_files(
         .option("pathGlobFilter", file_glob)
         .csv(path)
     )
+    named = F.regexp_extract("_metadata.file_path", subject_pattern, 1)
+    subject = F.url_decode(F.replace(named, F.lit("+"), F.lit("%2B")))
+    nameless = F.raise_error(F.concat(F.lit("no subject in the file path "), F.col("_metadata.file_path")))
     return rows.select(
-        F.regexp_extract("_metadata.file_path", subject_pattern, 1).alias(SUBJECT),
+        F.when(named == "", nameless).otherwise(subject).alias(SUBJECT),
         F.col("_metadata.file_block_start").alias(FILE_OFFSET),
         "*",
     )

@@ -9,8 +9,8 @@ from sensorflow.session import local_session
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(8)
+def spark(tmp_path_factory):
+    session = local_session(8, folder=f"file://{tmp_path_factory.mktemp('shared')}")
     yield session
     session.stop()
 

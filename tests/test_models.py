@@ -8,7 +8,7 @@ from sensorflow.catalog.models import KEY, prepared_series
 from sensorflow.catalog.samples import FOUR, TWO_SUBJECTS, sample_lines, sensor_samples, table
 from sensorflow.operators.evaluate import confusion
 from sensorflow.operators.labels import label_index
-from sensorflow.operators.split import hash_split, random_split, with_fold
+from sensorflow.operators.split import hash_split, random_split, with_fold, with_group_fold
 from sensorflow.plans.forest import (
     best_parameters,
     feature_importances,
@@ -89,23 +89,25 @@ def test_importances_sum_to_one_and_find_the_acceleration(spark, trained):
 def test_full_grid_has_24_points():
     points = tuning_grid(forest())
     assert len(points) == 24
-    assert all(len(point) == 5 for point in points)
+    assert all(len(point) == 3 for point in points)
 
 
 def test_tuning_picks_the_best_point(spark, series):
     rows, columns = series
-    tuned = tune(rows, columns, folds=3, depths=(0, 5), gains=(0.01,), trees=(5,))
+    tuned = tune(rows, columns, KEY, folds=3, depths=(0, 5), gains=(0.01,), trees=(5,))
     scores = {r.max_depth: r.accuracy for r in grid_scores(spark, tuned).collect()}
     assert scores[5] > scores[0]
-    chosen = {r.parameter: r.value for r in best_parameters(spark, tuned.model).collect()}
-    assert (chosen["maxDepth"], chosen["numTrees"]) == ("5", "5")
+    assert tuple(best_parameters(spark, tuned).first()) == (5, 0.01, 5)
     assert tuned.model.transform(rows).count() == rows.count()
 
 
 @pytest.mark.parametrize("mode, settings", [("baseline", {"trees": 20}), ("tuned", {"folds": 2, "depths": (5,), "gains": (0.01,), "trees": (10,)})])
 def test_run_reports_every_subject(spark, sf_dir, mode, settings):
     result = run(sensor_samples(spark, sf_dir, TWO_SUBJECTS, FOUR), KEY, mode=mode, rows_per_task=100, **settings)
-    assert set(result.models) == {"subject107", "subject108"}
+    assert set(result.models) == {"subject107", "subject108"} and len(result.models) == 2
+    assert result.skipped.count() == 0
+    assert result.best_parameters().count() == (2 if mode == "tuned" else 0)
+    assert result.score_all("subject107").count() == result.prepared.filter("subject = 'subject107'").count()
     assert result.report("Per_Subject").count() == 2 * 6
     assert result.report("Cleaning").count() == 2 * 3
     assert result.report().count() == 2 * 4 * 3
@@ -138,3 +140,40 @@ def test_run_refuses_unknown_modes_and_subjects(spark, sf_dir):
         run(samples, KEY, mode="best")
     with pytest.raises(KeyError, match="stranger"):
         run(samples, KEY)
+
+
+def test_forests_and_scores_do_not_depend_on_files_and_partitions(spark, series, tmp_path):
+    """Labels that the features hardly show, so that another bag of rows would show in the predictions."""
+    rows, columns = series
+    weak = [name for name in columns if "3Dacc" not in name]
+    found = []
+    for parts in (1, 7):
+        path = f"{tmp_path}/{parts}"
+        rows.repartition(parts, F.rand(parts)).write.parquet(path)
+        again = spark.read.parquet(path)
+        model, scored = train(again, weak, KEY, trees=10)
+        tuned = tune(hash_split(again, KEY)[0], weak, KEY, folds=2, depths=(5,), gains=(0.001,), trees=(5,))
+        found.append((sorted(map(tuple, scored.select("event_id", "prediction").collect())), tuned.scores))
+    assert found[0] == found[1]
+
+
+def test_no_group_fold_is_empty(spark):
+    rows = spark.range(90).select(F.concat(F.lit("subject10"), F.col("id") % 9).alias("subject"))
+    folds = with_group_fold(rows, ["subject"], 5).groupBy("fold").agg(F.count_distinct("subject").alias("n")).collect()
+    assert sorted((r.fold, r.n) for r in folds) == [(0, 2), (1, 2), (2, 2), (3, 2), (4, 1)]
+
+
+def test_a_run_reports_subjects_it_cannot_train_and_goes_on_where_it_stopped(spark, sf_dir, tmp_path):
+    """One subject has a single complete row, which the split holds out."""
+    samples = sensor_samples(spark, sf_dir, TWO_SUBJECTS, FOUR)
+    lone = hash_split(prepared_series(spark, sf_dir, "'subject101'")[0], ["subject", *KEY])[1].select("event_id").first()[0]
+    samples = samples.withColumn("subject", F.when(F.col("event_id") == lone, "subject101").otherwise(F.col("subject")))
+    samples = samples.withColumn("heart_rate", F.when(F.col("event_id") == lone, 70.0).otherwise(F.col("heart_rate")))
+    folder = str(tmp_path / "run")
+    result = run(samples, KEY, folder=folder, trees=5)
+    assert [tuple(r) for r in result.skipped.collect()] == [("subject101", "no training rows")]
+    assert set(result.models) == {"subject107", "subject108"}
+    times = {p: p.stat().st_mtime_ns for p in (tmp_path / "run").rglob("*.parquet")}
+    again = run(samples, KEY, folder=folder, trees=5)
+    assert {p: p.stat().st_mtime_ns for p in (tmp_path / "run").rglob("*.parquet")} == times
+    assert again.predictions.count() == result.predictions.count() > 0

@@ -28,6 +28,30 @@ def test_no_query_crosses_joins_or_runs_python(name, spark, sf_dir):
         assert node not in text
 
 
+@pytest.mark.parametrize("name", ["class_report_J3", "subject_report_J3", "class_distribution_A3", "index_labels_A5", "true_classes_A6"])
+def test_no_job_runs_while_a_query_is_built(name, spark, sf_dir):
+    build, _ = {**preparation.ENTRIES, **reports.ENTRIES}[name]
+    build(spark, sf_dir)  # reads file footers
+    spark.sparkContext.setJobGroup(f"build {name}", "")
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"build {name}"))
+    text = plan(build(spark, sf_dir))
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(f"build {name}")
+    spark.sparkContext.setJobGroup("", "")
+    assert len(jobs) - before <= 1 and "Window [last" not in text  # at most the footer of the one table
+
+
+def test_labels_are_counted_before_their_index_is_looked_up(spark, sf_dir):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for name in ("index_labels_A5", "true_classes_A6", "classes_in_order_O1"):
+            text = plan(reports.ENTRIES[name][0](spark, sf_dir), "simple")
+            # Both sides of the join scan the predictions and reduce them to subject and label before any exchange.
+            assert text.count("HashAggregate(keys=[subject") >= 2 * text.count("FileScan") == 4
+            assert text.index("SortMergeJoin") < text.index("partial_count(1)")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_transient_filter_reaches_the_text_scan(spark, tmp_path):
     (tmp_path / "subject101.dat").write_text("0.0 1 100\n")
     text = plan(drop_transient(read_subject_files(spark, str(tmp_path))))

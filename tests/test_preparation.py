@@ -181,7 +181,7 @@ def test_unknown_subject_is_an_error(spark):
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_folder(spark, "x") != shared_folder(spark, "x")
     cluster = SimpleNamespace(
-        conf={"spark.checkpoint.dir": "/shared/place/"}, sparkContext=SimpleNamespace(master="spark://host")
+        conf={"spark.checkpoint.dir": "/shared/place/"}, sparkContext=SimpleNamespace(getCheckpointDir=lambda: None)
     )
     assert shared_folder(cluster, "x").startswith("/shared/place/x-")
     cluster.conf = {}
@@ -199,3 +199,57 @@ def test_stored_rows_are_pruned_by_subject(spark, recordings, tmp_path):
     stored = read_by_subject(spark, str(tmp_path / "samples")).filter("subject = 'subject108'")
     assert stored.count() == 2
     assert "PartitionFilters: [isnotnull(subject" in stored._jdf.queryExecution().toString()
+
+
+def with_subjects(spark, sf_dir, rule):
+    """Samples whose subject is given by a SQL rule on the event id."""
+    return sensor_samples(spark, sf_dir).withColumn("subject", F.expr(rule))
+
+
+@pytest.mark.parametrize(
+    "rule", ["CASE WHEN event_id % 2 = 0 THEN 'stranger' ELSE 'subject101' END", "CASE WHEN event_id % 2 = 0 THEN 'NA' ELSE 'subject101' END", "CASE WHEN event_id % 2 = 0 THEN NULL ELSE 'subject101' END"]
+)
+def test_unknown_subjects_are_an_error_or_incomplete(spark, sf_dir, rule):
+    samples = with_subjects(spark, sf_dir, rule)
+    with pytest.raises(Exception, match="no baseline for subject"):
+        prepare(samples, ["event_id"]).count()
+    rows = prepare(samples, ["event_id"], strict=False)
+    counts = {r.subject: r.complete_rows for r in cleaning_counts(samples, ["event_id"]).collect()}
+    assert {r["subject"]: r["count"] for r in rows.groupBy("subject").count().collect()} == {s: n for s, n in counts.items() if n}
+    assert len(counts) == 2
+
+
+def test_subject_called_like_a_missing_value_is_prepared(spark, sf_dir):
+    samples = with_subjects(spark, sf_dir, "'NA'")
+    baseline = {"NA": 60}
+    counts = cleaning_counts(samples, ["event_id"], baseline=baseline).first()
+    assert (counts.subject, counts.complete_rows) == ("NA", prepare(samples, ["event_id"], baseline=baseline).count())
+
+
+def test_doubled_and_null_baselines(spark):
+    df = spark.createDataFrame([("a", 80.0), ("b", 60.0)], "subject string, heart_rate double")
+    doubled = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "subject string, resting_hr int")
+    with pytest.raises(ValueError, match="two baselines"):
+        check_subjects(df, doubled)
+    with pytest.raises(Exception, match="two baselines for subject a"):
+        subtract_baseline(df, doubled).collect()
+    empty = spark.createDataFrame([("a", 1, 0), ("b", None, 0)], "subject string, resting_hr int, other int")
+    with pytest.raises(KeyError, match="b"):
+        check_subjects(df, empty.drop("other"))
+    with pytest.raises(Exception, match="no baseline for subject b"):
+        subtract_baseline(df, empty, strict=True, column="resting_hr").collect()
+    with pytest.raises(ValueError, match="name the baseline column"):
+        subtract_baseline(df, empty)
+
+
+def test_subject_names_survive_paths(spark, tmp_path):
+    for name in ("subject 1", "a+b", "001"):
+        (tmp_path / f"{name}.dat").write_text("0.0 1 100\n")
+    stored = ingest_subject_files(spark, str(tmp_path), str(tmp_path / "out"))
+    names = {"subject 1", "a+b", "001"}
+    assert {r.subject for r in stored.collect()} == names
+    assert {r.subject for r in read_by_subject(spark, str(tmp_path / "out")).collect()} == names
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "x.txt").write_text("0.0 1 100\n")
+    with pytest.raises(Exception, match="no subject in the file path"):
+        read_subject_files(spark, str(tmp_path / "other"), file_glob="*.txt").select("subject").collect()
