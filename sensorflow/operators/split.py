@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorflow.functions.values import row_hash
@@ -15,8 +15,12 @@ TRAIN_PERCENT = 80
 
 def hash_split(df: DataFrame, key: Sequence[str], percent: int = TRAIN_PERCENT) -> tuple[DataFrame, DataFrame]:
     """Split by a hash of the row key: the same rows on every run and any partitioning."""
-    place = row_hash(key) % 100
-    return df.filter(place < percent), df.filter(place >= percent)
+    trained = in_training(key, percent)
+    return df.filter(trained), df.filter(~trained)
+
+
+def in_training(key: Sequence[str], percent: int = TRAIN_PERCENT) -> Column:
+    return row_hash(key) % 100 < percent
 
 
 def random_split(df: DataFrame, percent: int = TRAIN_PERCENT, seed: int = SEED) -> tuple[DataFrame, DataFrame]:

@@ -62,17 +62,20 @@ def placed(df: DataFrame, key: Sequence[str], rows: int) -> DataFrame:
     return df.repartition(max(1, -(-rows // ROWS_PER_PARTITION)), *key).sortWithinPartitions(*key)
 
 
-def train(prepared: DataFrame, columns: Sequence[str], key: Sequence[str], **settings) -> tuple[PipelineModel, DataFrame]:
+def train(
+    prepared: DataFrame, columns: Sequence[str], key: Sequence[str], rows: int | None = None, **settings
+) -> tuple[PipelineModel, DataFrame]:
     """Fit on the training part; returns the model and the scored held-out rows.
 
     Labels are indexed over all rows, so both parts know every label. Feed it a
-    stored table: each pass of the forest reads the input.
+    stored table: each pass of the forest reads the input. ``rows``, the number of rows of ``prepared``, is counted
+    if it is not given.
     """
     indexer = index_labels(prepared)
     training, held_out = hash_split(prepared, key)
-    rows = placed(training.select(*key, LABEL, *columns), key, prepared.count())
+    laid = placed(training.select(*key, LABEL, *columns), key, prepared.count() if rows is None else rows)
     stages = [indexer, assemble(columns), forest(**settings), name_predictions(indexer)]
-    model = Pipeline(stages=stages).fit(rows)
+    model = Pipeline(stages=stages).fit(laid)
     return model, model.transform(held_out)
 
 

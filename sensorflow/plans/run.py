@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from sensorflow.operators.audit import cleaning_report, stored_counts
@@ -18,7 +18,7 @@ from sensorflow.operators.derive import feature_columns
 from sensorflow.operators.evaluate import class_metrics, class_report, confusion, subject_metrics, subject_report
 from sensorflow.operators.impute import ROWS_PER_TASK
 from sensorflow.operators.report import select_report
-from sensorflow.operators.split import hash_split
+from sensorflow.operators.split import hash_split, in_training
 from sensorflow.plans.forest import feature_importances, grid_scores, index_labels, train, tune
 from sensorflow.plans.prepare import prepare
 from sensorflow.schema import INDEXED_LABEL, LABEL, PREDICTED_LABEL, RESTING_HEART_RATE, SUBJECT, TIME
@@ -125,15 +125,14 @@ def run(
     key = [SUBJECT, *tiebreak]
     columns = feature_columns(prepared, key)
 
-    def fit(subject: str) -> None:
+    def fit(counted: Row) -> None:
         """Model, importances, scores and predictions of one subject, and last a row that says it is done."""
-        rows = prepared.filter(F.col(SUBJECT) == subject)
-        reason, training = None, hash_split(rows, key)[0]
+        subject, reason = counted[SUBJECT], None
         try:
-            if training.isEmpty():
+            if not counted.training_rows:
                 reason = "no training rows"
             else:
-                model, scored, scores = fitted(rows)
+                model, scored, scores = fitted(prepared.filter(F.col(SUBJECT) == subject), counted.rows)
                 model.write().overwrite().save(subject_path(folder, "models", subject))
                 write(feature_importances(spark, {subject: model}), "importances", subject)
                 if scores is not None:
@@ -143,9 +142,9 @@ def run(
             reason = f"{type(error).__name__}: {error}"[:500]
         write(spark.createDataFrame([(subject, reason)], DONE), "finished", subject)
 
-    def fitted(rows: DataFrame) -> tuple[PipelineModel, DataFrame, DataFrame | None]:
+    def fitted(rows: DataFrame, n: int) -> tuple[PipelineModel, DataFrame, DataFrame | None]:
         if mode == "baseline":
-            return *train(rows, columns, key, **settings), None
+            return *train(rows, columns, key, n, **settings), None
         training, held_out = hash_split(rows, key)
         tuned = tune(training, columns, key, indexer=index_labels(rows), **settings)
         return tuned.model, tuned.model.transform(held_out), grid_scores(spark, tuned)
@@ -154,8 +153,9 @@ def run(
         df.write.mode("overwrite").parquet(subject_path(folder, kind, subject))
 
     finished = read_runs(spark, folder, "finished", DONE)
-    waiting = prepared.select(SUBJECT).distinct().join(finished.select(SUBJECT), SUBJECT, "left_anti").orderBy(SUBJECT)
-    in_turn(inheritable_thread_target(spark)(fit), (row[0] for row in waiting.toLocalIterator()), subjects_at_once)
+    counts = prepared.groupBy(SUBJECT).agg(F.count("*").alias("rows"), F.count_if(in_training(key)).alias("training_rows"))
+    waiting = counts.join(finished.select(SUBJECT), SUBJECT, "left_anti").orderBy(SUBJECT)
+    in_turn(inheritable_thread_target(spark)(fit), waiting.toLocalIterator(), subjects_at_once)
 
     finished = read_runs(spark, folder, "finished", DONE)
     kinds = {name: kind for name, kind in prepared.dtypes}
@@ -171,7 +171,7 @@ def run(
     )
 
 
-def in_turn(work: Callable[[str], None], items: Iterator[str], at_once: int) -> None:
+def in_turn(work: Callable[[Row], None], items: Iterator[Row], at_once: int) -> None:
     """Work on a few items at a time."""
     with ThreadPoolExecutor(at_once) as pool:
         running = set()
