@@ -186,7 +186,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     met = banded.join(shared, "band").filter("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v")).distinct()
     clusters = stored(components(met, f"{folder}/clusters").withColumnsRenamed({"node": "c_id", "component": "cluster"}), f"{folder}/members")
 
-    members = source.join(clusters, F.col("id") == F.col("c_id")).select("cluster", "id", "text")
+    # Candidates grow with the corpus; the hint keeps a small corpus on the plan of a large one.
+    members = source.join(clusters.hint("merge"), F.col("id") == F.col("c_id")).select("cluster", "id", "text")
     members = stored(members.withColumn("bytes", F.octet_length("text").cast("long")).drop_duplicates(["id"]), f"{folder}/texts")
     sizes = members.groupBy("cluster").agg(F.ceil(F.sum("bytes") / BLOCK_TEXT).cast("int").alias("blocks"))
     dealt = members.join(sizes.withColumnRenamed("cluster", "c"), F.col("cluster") == F.col("c"))
