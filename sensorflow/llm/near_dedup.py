@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from sensorflow.llm.components import components
 from sensorflow.llm.shingles import Shingler
-from sensorflow.llm.staging import stored, work_folder
+from sensorflow.llm.staging import stored, work_folder, worker_memo
 
 ROWS = 5
 MISS = 1e-6
@@ -56,6 +56,7 @@ def _text_bytes(column) -> list[bytes]:
 
 def _describe(width: int, bands: int, rows: int):
     def describe(batches):
+        worker_memo().clear()
         shingler, minhash = Shingler(width), MinHash(bands * rows)
         for batch in batches:
             sizes, digests, keys = [], [], []
@@ -140,6 +141,7 @@ def _compare(width: int, percent: int, n_hashes: int):
     """Groups of rows (cluster, left, right, id, side, text) in order become links; rows of a group follow each other."""
 
     def compare(batches):
+        worker_memo().clear()
         shingler, minhash, group, rows = Shingler(width), MinHash(n_hashes), None, []
 
         def finish():

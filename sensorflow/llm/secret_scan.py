@@ -14,6 +14,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sensorflow.llm.staging import worker_memo
+
 # Fixed patterns: kind, pattern, group whose length counts, least length.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 PATTERNS = (
@@ -100,6 +102,7 @@ def scan(docs: DataFrame, text: str = "text", threshold: float = NOVELTY, redact
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def search(batches):
+        worker_memo().clear()
         novelty = Novelty()
         for batch in batches:
             texts, all_found = batch.column(at).to_pylist(), []

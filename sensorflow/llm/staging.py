@@ -35,5 +35,8 @@ def source(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def worker_memo() -> dict:
-    """A dictionary that lasts as long as this Python process: a reused worker runs many tasks."""
+    """A dictionary that lasts as long as this Python process: a reused worker runs many tasks.
+
+    Tasks that need memory for other work clear it.
+    """
     return vars(sys).setdefault("_corpus_worker_memo", {})
