@@ -1,7 +1,7 @@
 """Removal of long byte strings that repeat across documents, by sorting suffixes.
 
 A byte goes if a string of ``length`` bytes that covers it also starts in a document with a smaller id. Texts are stored once, as chunks of a few MB,
-bucketed by chunk so that later joins move no text. Then
+bucketed by chunk: with at least as many buckets as shuffle partitions, later joins move no text. Then
 
 1. every window of ``length`` bytes is led by the ANCHOR bytes in it with the lowest hash. Equal windows have equal
    leaders, so a window can repeat only if its leader does. Chunks send their leaders' hashes, dealt by hash, and learn
@@ -29,7 +29,7 @@ from sensorflow.llm.suffix_sort import WORD, sort_suffixes
 
 LENGTH = 50
 ANCHOR = 16
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 BLOCK = 1 << 19
 POSITION_BITS = 20
 KEY_BYTES = 5
@@ -61,6 +61,13 @@ def _chunks(batches):
         yield packed()
 
 
+def _rows(batches):
+    """The rows of batches as dictionaries, one at a time: a row holds a whole chunk."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}
+
+
 class Chunk:
     """A chunk's bytes, its documents' limits and ids (null ids are above all others), and its leaders."""
 
@@ -105,7 +112,8 @@ class Chunk:
             stops = np.append(begins[1:], len(leader)) - 1
             good = usable[begins]
             begins, stops = begins[good], stops[good]
-            out.append((keys[leader[begins]], begins + first, stops + first))
+            # Leaders have low hashes; mixed again, these are spread over all groups.
+            out.append((mixed(keys[leader[begins]]), begins + first, stops + first))
         key, low, high = (np.concatenate(part) for part in zip(*out))
         return key, low, high, np.searchsorted(self.ends, low, "right")
 
@@ -121,19 +129,18 @@ def _short(keys: np.ndarray) -> bytes:
 
 def _asked(groups: int, length: int):
     def ask(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                key, _, _, _ = Chunk(row["ids"], row["lengths"], row["body"], length).leaders()
-                keys = np.unique(key)
-                limits = np.searchsorted(_dealt(keys, groups), np.arange(groups + 1, dtype=np.uint64))
-                used = [g for g in range(groups) if limits[g] < limits[g + 1]]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "part": pa.array(used, pa.int32()),
-                        "chunk": pa.array([row["chunk"]] * len(used), pa.int64()),
-                        "keys": pa.array([_short(keys[limits[g] : limits[g + 1]]) for g in used], pa.binary()),
-                    }
-                )
+        for row in _rows(batches):
+            key, _, _, _ = Chunk(row["ids"], row["lengths"], row["body"], length).leaders()
+            keys = np.unique(key)
+            limits = np.searchsorted(_dealt(keys, groups), np.arange(groups + 1, dtype=np.uint64))
+            used = [g for g in range(groups) if limits[g] < limits[g + 1]]
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "part": pa.array(used, pa.int32()),
+                    "chunk": pa.array([row["chunk"]] * len(used), pa.int64()),
+                    "keys": pa.array([_short(keys[limits[g] : limits[g + 1]]) for g in used], pa.binary()),
+                }
+            )
 
     return ask
 
@@ -185,22 +192,17 @@ def _records(chunk: Chunk, answers: list, groups: int, deal: int):
 def _sent(groups: int, deal: int, length: int):
     def send(batches):
         pack = zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
-            for row in batch.to_pylist():
-                chunk = Chunk(row["ids"], row["lengths"], row["body"], length)
-                _, strings, owners, parts = _records(chunk, row["answers"] or [], groups, deal)
-                order = np.argsort(parts, kind="stable")
-                for g in np.unique(parts).tolist():
-                    mine = order[np.searchsorted(parts[order], g) : np.searchsorted(parts[order], g, "right")].tolist()
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "part": pa.array([g], pa.int32()),
-                            "chunk": pa.array([row["chunk"]], pa.int64()),
-                            "owners": pa.array([pack(owners[mine].tobytes())], pa.binary()),
-                            "windows": pa.array([pack(bytes(len(strings[i]) - length + 1 for i in mine))], pa.binary()),
-                            "strings": pa.array([pack(b"".join([strings[i] for i in mine]))], pa.binary()),
-                        }
-                    )
+        for row in _rows(batches):
+            chunk = Chunk(row["ids"], row["lengths"], row["body"], length)
+            _, strings, owners, parts = _records(chunk, row["answers"] or [], groups, deal)
+            order, out = np.argsort(parts, kind="stable"), {"part": [], "chunk": [], "owners": [], "windows": [], "strings": []}
+            for g in np.unique(parts).tolist():
+                mine = order[np.searchsorted(parts[order], g) : np.searchsorted(parts[order], g, "right")].tolist()
+                windows, text = bytes(len(strings[i]) - length + 1 for i in mine), b"".join([strings[i] for i in mine])
+                for name, value in zip(out, (g, row["chunk"], pack(owners[mine].tobytes()), pack(windows), pack(text))):
+                    out[name].append(value)
+            kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(values, kind) for values, kind in zip(out.values(), kinds)], list(out))
 
     return send
 
@@ -250,36 +252,35 @@ def _answer_windows(length: int):
 
 def _marked(groups: int, deal: int, length: int, with_kept: bool):
     def mark(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                chunk = Chunk(row["ids"], row["lengths"], row["body"], length)
-                (low, high, doc, number), strings, owners, parts = _records(chunk, row["answers"] or [], groups, deal)
-                counts = np.array([len(string) - length + 1 for string in strings], np.int64)
-                order, offset = np.argsort(parts, kind="stable"), np.cumsum(counts) - counts
-                gone = np.zeros(int(counts.sum()), bool)  # windows of each string that a smaller id than its owner has
-                for found in row["found"] or []:
-                    mine = order[np.searchsorted(parts[order], found["part"]) : np.searchsorted(parts[order], found["part"], "right")]
-                    size = counts[mine]
-                    bits = np.unpackbits(np.frombuffer(found["mask"], np.uint8), count=int(size.sum())).astype(bool)
-                    gone[np.repeat(offset[mine] - (np.cumsum(size) - size), size) + np.arange(len(bits))] = bits
-                size = high - low + 1
-                nth = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                bad = gone[np.repeat(offset[number], size) + nth] | np.repeat(chunk.ids[doc] > owners[number], size)
-                at = (np.repeat(low, size) + nth)[bad]
-                edge = np.zeros(len(chunk.data) + 1, np.int32)
-                edge[at] += 1  # windows start at different places
-                edge[at + length] -= 1
-                covered = np.cumsum(edge)[:-1] > 0
-                out = []
-                for known, begin, end in zip(chunk.known, chunk.starts.tolist(), chunk.ends.tolist()):
-                    mine = covered[begin:end]
-                    removed = int(mine.sum())
-                    kept = chunk.raw[begin:end] if not removed else chunk.data[begin:end][~mine].tobytes()
-                    spans = int(mine[:1].sum()) + int((mine[1:] & ~mine[:-1]).sum()) if removed else 0
-                    out.append((known, end - begin, removed, spans, hashlib.sha256(kept).hexdigest(), kept if with_kept else None))
-                names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-                types = [pa.int64()] * 4 + [pa.string(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*out), types)], names)
+        for row in _rows(batches):
+            chunk = Chunk(row["ids"], row["lengths"], row["body"], length)
+            (low, high, doc, number), strings, owners, parts = _records(chunk, row["answers"] or [], groups, deal)
+            counts = np.array([len(string) - length + 1 for string in strings], np.int64)
+            order, offset = np.argsort(parts, kind="stable"), np.cumsum(counts) - counts
+            gone = np.zeros(int(counts.sum()), bool)  # windows of each string that a smaller id than its owner has
+            for found in row["found"] or []:
+                mine = order[np.searchsorted(parts[order], found["part"]) : np.searchsorted(parts[order], found["part"], "right")]
+                size = counts[mine]
+                bits = np.unpackbits(np.frombuffer(found["mask"], np.uint8), count=int(size.sum())).astype(bool)
+                gone[np.repeat(offset[mine] - (np.cumsum(size) - size), size) + np.arange(len(bits))] = bits
+            size = high - low + 1
+            nth = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            bad = gone[np.repeat(offset[number], size) + nth] | np.repeat(chunk.ids[doc] > owners[number], size)
+            at = (np.repeat(low, size) + nth)[bad]
+            edge = np.zeros(len(chunk.data) + 1, np.int32)
+            edge[at] += 1  # windows start at different places
+            edge[at + length] -= 1
+            covered = np.cumsum(edge)[:-1] > 0
+            out = []
+            for known, begin, end in zip(chunk.known, chunk.starts.tolist(), chunk.ends.tolist()):
+                mine = covered[begin:end]
+                removed = int(mine.sum())
+                kept = chunk.raw[begin:end] if not removed else chunk.data[begin:end][~mine].tobytes()
+                spans = int(mine[:1].sum()) + int((mine[1:] & ~mine[:-1]).sum()) if removed else 0
+                out.append((known, end - begin, removed, spans, hashlib.sha256(kept).hexdigest(), kept if with_kept else None))
+            names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+            types = [pa.int64()] * 4 + [pa.string(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*out), types)], names)
 
     return mark
 
@@ -297,7 +298,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
     source = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     packed = source.mapInArrow(_chunks, "chunk long, ids array<long>, lengths array<long>, body binary, bytes long")
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, -(-total // (8 * CHUNK_BYTES)))
+    buckets = max(1, -(-total // (16 * CHUNK_BYTES)))
     name = f"chunks_{uuid.uuid4().hex}"
     packed.write.bucketBy(buckets, "chunk").option("path", f"{folder}/chunks").saveAsTable(name)
     chunks = spark.table(name)
