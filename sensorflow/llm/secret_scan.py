@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and compression novelty of values in sensitive contexts.
 
 A value next to a sensitive word is a candidate. Its novelty is how many bytes it adds to a zstandard frame that
-already holds the text around it, primed with a dictionary of identifiers, per character of the value. Words, identifiers and values that
-also stand nearby add little; random keys do not compress.
+already holds the text around it without copies of the value, primed with a dictionary of identifiers, per character of the value. Words and
+identifiers add little; random keys do not compress, however often they stand nearby.
 """
 
 from __future__ import annotations
@@ -63,6 +63,14 @@ class Novelty:
         return (with_value - len(self.compress((around + "\n").encode("utf-8", "surrogatepass")))) / len(value)
 
 
+def context(text: str, begin: int, end: int) -> str:
+    """AROUND characters on each side of a value, each copy of the value in them blank, also one that the limit cuts."""
+    value, blank = text[begin:end], " " * (end - begin)
+    reach = AROUND + len(value)
+    before = text[max(0, begin - reach) : begin].replace(value, blank)
+    return before[-AROUND:] + text[end : end + reach].replace(value, blank)[:AROUND]
+
+
 def spans(text: str, novelty: Novelty, threshold: float = NOVELTY) -> list[tuple[str, int, int]]:
     """kind, start and end (code points, end exclusive), by start, then kind as in KINDS.
 
@@ -75,8 +83,7 @@ def spans(text: str, novelty: Novelty, threshold: float = NOVELTY) -> list[tuple
         begin, end = m.span(1)
         if any(a <= begin and end <= b for _, a, b in found):
             continue
-        around = text[max(0, begin - AROUND) : begin] + text[end : end + AROUND]
-        if novelty.of(m.group(1), around) >= threshold:
+        if novelty.of(m.group(1), context(text, begin, end)) >= threshold:
             more.append(("novel", begin, end))
     return sorted(found + more, key=lambda span: (span[1], KINDS.index(span[0])))
 

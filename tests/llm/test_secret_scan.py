@@ -54,3 +54,18 @@ def test_redaction_and_odd_rows(odd, clashing, none):
     first = secret_scan.summary(secret_scan.scan(odd)).filter("doc_id = 4").first()
     assert (first.n_assign, first.spans, first.base_sha256) == (0, "", hashlib.sha256(b"").hexdigest())
     assert secret_scan.summary(secret_scan.scan(none)).count() == 0
+
+
+def test_values_that_stand_twice_are_found_in_both_places():
+    rng = random.Random(3)
+    novelty = secret_scan.Novelty()
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for size in (20, 32, 40):
+        for gap in (0, 100, secret_scan.AROUND - size // 2 - 10, 400):
+            for _ in range(10):
+                value = "".join(rng.choice(letters) for _ in range(size))
+                text = f"auth_header = '{value}'\n{'send the request ' * 30}"[: size + 20 + gap] + f"\nbearer: {value}\n"
+                places = [m.start() for m in re.finditer(value, text)]
+                assert secret_scan.spans(text, novelty) == [("novel", at, at + size) for at in places] and len(places) == 2
+    plain = "session = application_session_manager\n"
+    assert secret_scan.spans(plain * 2, novelty) == []
