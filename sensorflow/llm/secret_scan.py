@@ -1,6 +1,6 @@
 """Secret scans: fixed patterns, and compression novelty of values in sensitive contexts.
 
-A value next to a sensitive word is a candidate. Its novelty is how many bytes it adds to a zstandard frame that
+A run of at least LEAST characters next to a name with a sensitive word is a candidate. Its novelty is how many bytes it adds to a zstandard frame that
 already holds the text around it without copies of the value, primed with a dictionary of identifiers, per character of the value. Words and
 identifiers add little; random keys do not compress, however often they stand nearby.
 """
@@ -25,9 +25,15 @@ PATTERNS = (
 )
 KINDS = ("assign", "access", "hex", "novel")
 
+LEAST = 8
 SENSITIVE = re.compile(
-    r"(?:password|passwd|passphrase|secret|token|api_?key|private_?key|access_?key|auth|bearer|credential|signature|cookie|session)"
-    r"[A-Za-z_]{0,20}[\"']?\x20{0,4}(?:[:=]|=>|is|\x20)\x20{0,4}[\"']?([A-Za-z0-9+/_=-]{20,})",
+    r"password|passwd|passphrase|secret|token|api[_\-\x20]?key|private[_\-\x20]?key|access[_\-\x20]?key|auth|bearer|credential|signature|cookie|session",
+    re.IGNORECASE | re.ASCII,
+)
+NAME_REST = re.compile(r"[A-Za-z0-9_-]*+")
+VALUE = re.compile(
+    r"(?:\\?[\"'])?(?:[\x20\t]*+[:=]{1,2}>?[\x20\t]*+|[\x20\t]++(?:is[\x20\t]++)?)(?:\\?[\"'])?"
+    rf"([A-Za-z0-9+/_=.-]{{{LEAST - 1},}}[A-Za-z0-9+/_=-])",
     re.IGNORECASE | re.ASCII,
 )
 IDENTIFIERS = (
@@ -46,6 +52,7 @@ IDENTIFIERS = (
     "status", "string", "struct", "success", "template", "testing", "thread", "timeout", "timestamp", "token", "transaction", "undefined", "unsigned", "update", "user", "username", "value", "variable", "version",
 )
 AROUND = 256
+TAIL = " " * 16  # zstandard looks for no match in the last 8 bytes
 NOVELTY = 0.6
 REPLACEMENT = "<secret>"
 
@@ -59,8 +66,8 @@ class Novelty:
         self.compress = zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False, write_checksum=False).compress
 
     def of(self, value: str, around: str) -> float:
-        with_value = len(self.compress((around + "\n" + value).encode("utf-8", "surrogatepass")))
-        return (with_value - len(self.compress((around + "\n").encode("utf-8", "surrogatepass")))) / len(value)
+        size = lambda middle: len(self.compress(f"{around}\n{middle}\n{TAIL}".encode("utf-8", "surrogatepass")))
+        return (size(value) - size("")) / len(value)
 
 
 def context(text: str, begin: int, end: int) -> str:
@@ -71,6 +78,25 @@ def context(text: str, begin: int, end: int) -> str:
     return before[-AROUND:] + text[end : end + reach].replace(value, blank)[:AROUND]
 
 
+def novel(text: str, known: list[tuple[int, int]], novelty: Novelty, threshold: float = NOVELTY):
+    """start and end of novel values that no span of ``known`` holds. Of a value that is not novel as a whole, its parts between dots are tried."""
+    at = 0
+    while m := SENSITIVE.search(text, at):
+        at = NAME_REST.match(text, m.end()).end()
+        value = VALUE.match(text, at)
+        if not value:
+            continue
+        begin = value.start(1)
+        parts = [(begin + p.start(), begin + p.end()) for p in re.finditer(r"[^.]+", value[1]) if len(p[0]) >= LEAST]
+        for tried in ([value.span(1)], parts):
+            tried = [(a, b) for a, b in tried if not any(x <= a and b <= y for x, y in known)]
+            found = [(a, b) for a, b in tried if novelty.of(text[a:b], context(text, a, b)) >= threshold]
+            if found:
+                yield from found
+                at = value.end(1)
+                break
+
+
 def spans(text: str, novelty: Novelty, threshold: float = NOVELTY) -> list[tuple[str, int, int]]:
     """kind, start and end (code points, end exclusive), by start, then kind as in KINDS.
 
@@ -78,14 +104,8 @@ def spans(text: str, novelty: Novelty, threshold: float = NOVELTY) -> list[tuple
     span of kind novel unless a pattern span holds it.
     """
     found = [(kind, m.start(), m.end()) for kind, pattern, group, least in PATTERNS for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least]
-    more = []
-    for m in SENSITIVE.finditer(text):
-        begin, end = m.span(1)
-        if any(a <= begin and end <= b for _, a, b in found):
-            continue
-        if novelty.of(m.group(1), context(text, begin, end)) >= threshold:
-            more.append(("novel", begin, end))
-    return sorted(found + more, key=lambda span: (span[1], KINDS.index(span[0])))
+    known = [(a, b) for _, a, b in found]
+    return sorted(found + [("novel", a, b) for a, b in novel(text, known, novelty, threshold)], key=lambda span: (span[1], KINDS.index(span[0])))
 
 
 def redacted(text: str, found: list[tuple[str, int, int]]) -> str:

@@ -69,3 +69,24 @@ def test_values_that_stand_twice_are_found_in_both_places():
                 assert secret_scan.spans(text, novelty) == [("novel", at, at + size) for at in places] and len(places) == 2
     plain = "session = application_session_manager\n"
     assert secret_scan.spans(plain * 2, novelty) == []
+
+
+def test_values_next_to_any_sensitive_name_are_candidates():
+    rng = random.Random(4)
+    novelty = secret_scan.Novelty()
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    names = ("bearer: ", "passphrase is ", "private-key: ", "X-Auth-Key: ", "credential2 = '", "auth:\t", "auth" + " " * 9 + "=\t ", '\\"session_of_the_last_known_user_2\\": \\"', "Authorization: Bearer ")
+    for size in (secret_scan.LEAST, 12, 16, 20, 40):
+        for name in names:
+            value = "".join(rng.choice(letters) for _ in range(size))
+            assert secret_scan.spans(f"# {name}{value}.\n", novelty) == [("novel", 2 + len(name), 2 + len(name) + size)]
+    short = "".join(rng.choice(letters) for _ in range(secret_scan.LEAST - 1))
+    assert secret_scan.spans(f"bearer: {short}\n", novelty) == []
+    jwt = ".".join("".join(rng.choice(letters) for _ in range(n)) for n in (36, 90, 43))
+    text = f"Authorization: Bearer {jwt}\n"
+    assert secret_scan.redacted(text, secret_scan.spans(text, novelty)) == "Authorization: Bearer <secret>\n"
+    value = jwt[:20]
+    text = f"auth_token_name = {value}{'.configuration.placeholder.application' * 3}\n"
+    assert secret_scan.spans(text, novelty) == [("novel", text.index(value), text.index(value) + 20)]
+    for plain in ("session password required", "cookie parameter", "authorization: undefined", "x-auth-token is configuration.application"):
+        assert secret_scan.spans(plain, novelty) == []
