@@ -133,20 +133,45 @@ def positions(planned: DataFrame) -> DataFrame:
     return copies.withColumn("position", time_of(asked, tilt(F.col("rank"))))
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", folder: str | None = None, **options) -> DataFrame:
-    """The documents in training order: each as often as the plan takes it, range-sorted by position.
+def ordered(docs: DataFrame, text: str, source: str, key: str, folder: str, **options) -> tuple[DataFrame, DataFrame]:
+    """The stored plan, and the documents in training order with ``__row`` of the plan for each copy.
 
-    Keeps the columns of ``docs``. The plan is joined to one row of each group of identical rows, which then repeats as
-    often as the plan takes the group. Documents without words are taken as their source's epochs say.
+    The plan is joined to one row of each group of identical rows, which then repeats as often as the plan takes the group.
     """
     columns = [f"`{c}`" for c in docs.columns]
-    marked = docs.withColumn("__content", F.xxhash64(*[F.col(c).cast("string") for c in columns]))
-    planned = plan(marked, text=text, source=source, key=key, folder=folder, keep=("__content",), **options)
-    copies = positions(planned).select(
-        F.col(f"`{key}`").alias("__key"), F.col("__content").alias("__same"), F.col("position").alias("__position"), "__row", F.col("epoch").alias("__epoch")
-    )
-    first = Window.partitionBy(f"`{key}`", "__content").orderBy(F.lit(0))
+    marks = [F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("null")) for c in columns]
+    marked = docs.withColumn("__content", F.md5(F.concat(*marks)))
+    planned = stored(plan(marked, text=text, source=source, key=key, folder=folder, keep=("__content",), **options), f"{folder}/plan")
+    copies = positions(planned).select(F.col("__content").alias("__same"), F.col("position").alias("__position"), "__row", F.col("epoch").alias("__epoch"))
+    first = Window.partitionBy("__content").orderBy(F.lit(0))
     single = marked.withColumn("__nth", F.row_number().over(first)).filter("__nth = 1")
-    joined = single.join(copies, single[key].eqNullSafe(copies["__key"]) & (F.col("__content") == F.col("__same")))
+    joined = single.join(copies, F.col("__content") == F.col("__same"))
     order = ["__position", "__row", "__epoch"]
-    return joined.repartitionByRange(*order).sortWithinPartitions(*order).select(*columns)
+    return planned, joined.repartitionByRange(*order).sortWithinPartitions(*order).select(*columns, "__row")
+
+
+def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", folder: str | None = None, **options) -> DataFrame:
+    """The documents in training order: each as often as the plan takes it, range-sorted by position.
+
+    Keeps the columns of ``docs``. Documents without words are taken as their source's epochs say.
+    """
+    folder = folder or work_folder(docs.sparkSession, "mix")
+    return ordered(docs, text, source, key, folder, **options)[1].select(*[f"`{c}`" for c in docs.columns])
+
+
+def taken_in_order(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", folder: str | None = None, **options) -> DataFrame:
+    """One row per input row: the plan's columns, with ``taken`` (words), first_place and last_place (from 0, null if never taken) of its copies
+    counted in the mixed documents as they are written."""
+    folder = folder or work_folder(docs.sparkSession, "mix")
+    planned, rows = ordered(docs, text, source, key, folder, **options)
+    numbers = {"__part": F.spark_partition_id(), "__nth": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}
+    written = stored(rows.withColumns(numbers), f"{folder}/mixed", compression="zstd")
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = written.groupBy("__part").agg(F.count("*").alias("__n"))
+    offsets = parts.select(F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__offset"))
+    sized = written.select("__row", "__part", "__nth", word_count(F.col(f"`{text}`")).alias("__words"))
+    placed = sized.join(offsets, F.col("__part") == F.col("__p")).withColumn("__place", F.col("__offset") + F.col("__nth"))
+    found = placed.groupBy(F.col("__row").alias("__r")).agg(
+        F.sum("__words").alias("__taken"), F.min("__place").alias("first_place"), F.max("__place").alias("last_place")
+    )
+    return planned.join(found, F.col("__row") == F.col("__r"), "left").withColumn("taken", F.coalesce("__taken", F.lit(0))).drop("__r", "__taken", "__content")

@@ -51,8 +51,8 @@ def op6_secret_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = source(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    planned = mixing.plan(docs)
-    return planned.select("doc_id", "size", "source_size", "target", "taken")
+    mixed = mixing.taken_in_order(docs)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "first_place", "last_place")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import hashlib
 import re
 from collections import Counter, defaultdict
 
@@ -78,3 +79,55 @@ def test_odd_rows(odd, clashing, none):
         wanted[r.doc_id] += r.epochs
     assert Counter(r.doc_id for r in mixed.collect()) == +wanted
     assert mixing.plan(none).count() == 0 and mixing.mix(none).count() == 0
+
+
+def brute_positions(rows):
+    """(id, text, source) rows: for each id the times of its copies, by bisection of its source's demand."""
+    sizes, out = defaultdict(int), defaultdict(list)
+    known = [(int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16), i, len(WORD.findall(t or "")), s) for i, t, s in rows]
+    for _, _, n, s in known:
+        sizes[s] += n
+    wanted = targets(sizes)
+    for rank, s in enumerate(sorted(sizes, key=lambda s: (s is None, (s or "").encode()))):
+        slope, target, at = (-0.8, 0.0, 0.8)[rank % 3], wanted[s], 0
+        whole = int(target // sizes[s]) if sizes[s] else 0
+        for _, i, n, _ in sorted(row for row in known if row[3] == s):
+            for epoch in range(whole + (at + n / 2 < target - whole * sizes[s])):
+                asked, low, high = min(1, (epoch * sizes[s] + at + n / 2) / target), 0.0, 1.0
+                for _ in range(60):
+                    t = (low + high) / 2
+                    low, high = (t, high) if t + slope * (t * t - t) < asked else (low, t)
+                out[i].append(low)
+            at += n
+    return out
+
+
+def test_query_places_copies_in_training_order(spark, sf_dir, given):
+    wanted = brute_positions(given("SELECT doc_id, text, source FROM documents"))
+    order = sorted(t for times in wanted.values() for t in times)
+    names = ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")
+    before = [spark.conf.get(name) for name in names]
+    try:
+        for name, value in zip(names, ("false", "5")):
+            spark.conf.set(name, value)
+        rows = QUERIES["op7_curriculum_mix"](spark, sf_dir).collect()
+    finally:
+        for name, value in zip(names, before):
+            spark.conf.set(name, value)
+    assert max(r.last_place for r in rows if r.taken) == len(order) - 1
+    firsts = [r.first_place for r in rows if r.first_place is not None]
+    assert len(set(firsts)) == len(firsts) == sum(map(bool, wanted.values()))
+    for r in rows:
+        times = wanted[r.doc_id]
+        assert r.taken == len(times) * r.size
+        assert (r.first_place is None) == (not times)
+        if times:
+            assert order[r.first_place] == pytest.approx(min(times), abs=1e-9)
+            assert order[r.last_place] == pytest.approx(max(times), abs=1e-9)
+
+
+def test_mixed_rows_differ_in_which_column_is_null(spark):
+    rows = [(1, "a a", None), (1, None, "a a"), (2, "b", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    planned = mixing.taken_in_order(docs).collect()
+    assert Counter((r.size, r.source, r.taken) for r in planned) == Counter((r.size, r.source, r.taken) for r in mixing.plan(docs).collect())
