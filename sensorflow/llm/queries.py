@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorflow.llm import mixing, near_dedup, packing, quality, secret_scan, sharding, suffix_dedup, token_files, topk, url_filter
+from sensorflow.llm import mixing, near_dedup, packing, phrases, quality, secret_scan, sharding, suffix_dedup, token_files, topk, url_filter
 from sensorflow.llm.staging import source, work_folder
 
 SHARD_BYTES = 32 << 20
@@ -71,6 +71,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(spark, folder)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(source(spark, sf_dir, "documents").select("lang", "text"))
+
+
 QUERIES = {
     "op1_extendible_sharding": op1_extendible_sharding,
     "op2_url_filter": op2_url_filter,
@@ -82,6 +86,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_certified_packing": op9_certified_packing,
     "op10_token_files": op10_token_files,
+    "op11_collocations": op11_collocations,
 }
 
 OP1_SQL = f"""
@@ -128,4 +133,31 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
 """
 
-SQL = {"op5_exact_top_k": OP5_SQL, "op1_extendible_sharding": OP1_SQL, "op2_url_filter": OP2_SQL}
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT d, lang, generate_subscripts(ps, 1) AS p, unnest(ps) AS piece
+  FROM (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang,
+               regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents)),
+words AS (
+  SELECT d, p, lang, generate_subscripts(ws, 1) AS i, unnest(ws) AS w
+  FROM (SELECT d, p, lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM pieces)),
+seq AS (SELECT lang, w, lead(w, 1) OVER t AS w2, lead(w, 2) OVER t AS w3 FROM words WINDOW t AS (PARTITION BY d, p ORDER BY i)),
+c AS (
+  SELECT lang, w AS phrase, 1 AS s, count(*) AS f FROM seq GROUP BY ALL UNION ALL
+  SELECT lang, w || ' ' || w2 AS phrase, 2 AS s, count(*) AS f FROM seq WHERE w2 IS NOT NULL GROUP BY ALL UNION ALL
+  SELECT lang, w || ' ' || w2 || ' ' || w3 AS phrase, 3 AS s, count(*) AS f FROM seq WHERE w3 IS NOT NULL GROUP BY ALL),
+spoken AS (SELECT lang, sum(f)::BIGINT AS n FROM c WHERE s = 1 GROUP BY lang),
+cand AS (SELECT lang, phrase, s, f AS a, string_split(phrase, ' ') AS ws FROM c WHERE s > 1 AND f >= 10),
+cuts AS (SELECT lang, phrase, s, a, k, array_to_string(ws[1:k], ' ') AS lp, array_to_string(ws[k + 1:s], ' ') AS rp FROM cand JOIN (VALUES (1), (2)) ks(k) ON k < s),
+scored AS (
+  SELECT x.lang, x.phrase, s, a, k, l.f AS l, r.f AS r, ((1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM cuts x JOIN (SELECT lang, phrase, f FROM c) l ON l.lang = x.lang AND l.phrase = lp JOIN (SELECT lang, phrase, f FROM c) r ON r.lang = x.lang AND r.phrase = rp),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+outer_ AS (
+  SELECT lang, array_to_string(ws[i:i + 1], ' ') AS phrase, max(a) AS a FROM cand JOIN (VALUES (1), (2)) places(i) ON s = 3 GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN outer_ o ON o.lang = b.lang AND o.phrase = b.phrase WHERE o.a IS NULL OR 100 * o.a < 50 * b.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN spoken USING (lang) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
+SQL = {"op11_collocations": OP11_SQL, "op5_exact_top_k": OP5_SQL, "op1_extendible_sharding": OP1_SQL, "op2_url_filter": OP2_SQL}
