@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorflow.llm import mixing, near_dedup, packing, phrases, quality, secret_scan, sharding, suffix_dedup, token_files, topk, url_filter
+from sensorflow.llm import mixing, near_dedup, packing, phrases, prefix_trie, quality, secret_scan, sharding, suffix_dedup, token_files, topk, url_filter
 from sensorflow.llm.staging import source, work_folder
 
 SHARD_BYTES = 32 << 20
@@ -75,6 +75,11 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(source(spark, sf_dir, "documents").select("lang", "text"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.turns_of(source(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(prefix_trie.with_shared_starts(turns))
+
+
 QUERIES = {
     "op1_extendible_sharding": op1_extendible_sharding,
     "op2_url_filter": op2_url_filter,
@@ -87,6 +92,7 @@ QUERIES = {
     "op9_certified_packing": op9_certified_packing,
     "op10_token_files": op10_token_files,
     "op11_collocations": op11_collocations,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 OP1_SQL = f"""
@@ -160,4 +166,32 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p
 FROM kept JOIN spoken USING (lang) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
 """
 
-SQL = {"op11_collocations": OP11_SQL, "op5_exact_top_k": OP5_SQL, "op1_extendible_sharding": OP1_SQL, "op2_url_filter": OP2_SQL}
+# CRC-32 bit by bit: bits of the reflected polynomial, low bit first.
+OP12_SQL = """
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST) AS turns FROM t GROUP BY conv_id),
+h AS (
+  SELECT conv_id, turns, xor(list_reduce(list_concat([4294967295::BIGINT], range(0, 8 * length(conv_id::VARCHAR))), lambda crc, i:
+    CASE WHEN (xor(crc, CASE WHEN i % 8 = 0 THEN ascii(substr(conv_id::VARCHAR, i // 8 + 1, 1)) ELSE 0 END) & 1) = 1
+         THEN xor(xor(crc, CASE WHEN i % 8 = 0 THEN ascii(substr(conv_id::VARCHAR, i // 8 + 1, 1)) ELSE 0 END) >> 1, 3988292384::BIGINT)
+         ELSE xor(crc, CASE WHEN i % 8 = 0 THEN ascii(substr(conv_id::VARCHAR, i // 8 + 1, 1)) ELSE 0 END) >> 1 END), 4294967295::BIGINT) % 9 AS h
+  FROM own),
+rebuilt AS (
+  SELECT h.conv_id, list_concat(coalesce(b.turns, [])[1:h.h], h.turns[h.h + 1:]) AS turns
+  FROM h LEFT JOIN own b ON b.conv_id = h.conv_id - h.conv_id % 5),
+members AS (SELECT conv_id, turns, d, turns[1:d] AS path, d = len(turns) AS last FROM rebuilt, unnest(range(0, len(turns) + 1)) AS ds(d)),
+nodes AS (
+  SELECT path, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE last), '')) AS ends_sha256,
+         CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * strlen(path[d].text) END AS saved
+  FROM members GROUP BY path, d),
+children AS (SELECT path[1:depth - 1] AS path, depth - 1 AS depth, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+n AS (SELECT nodes.*, coalesce(children.n, 0) AS n_children FROM nodes LEFT JOIN children USING (path, depth)),
+below AS (
+  SELECT a.path, a.depth, sum(b.saved)::BIGINT AS saved_tokens, count(*) FILTER (WHERE b.n_children = 0) AS n_leaves
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS above FROM n) b JOIN n a ON a.depth = b.above AND a.path = b.path[1:b.above] GROUP BY ALL)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM n JOIN below USING (path, depth) LEFT JOIN n p ON p.depth = n.depth - 1 AND p.path = n.path[1:n.depth - 1]
+"""
+
+SQL = {"op12_prefix_trie": OP12_SQL, "op11_collocations": OP11_SQL, "op5_exact_top_k": OP5_SQL, "op1_extendible_sharding": OP1_SQL, "op2_url_filter": OP2_SQL}

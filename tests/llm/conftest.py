@@ -50,6 +50,6 @@ def none(spark):
 def given(sf_dir):
     """Rows of the given tables, by SQL."""
     con = duckdb.connect()
-    for table in ("documents", "labels", "embeddings", "pages"):
+    for table in ("documents", "labels", "embeddings", "pages", "conversations"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     return lambda sql: con.execute(sql).fetchall()
