@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorflow.llm import mixing, near_dedup, packing, phrases, prefix_trie, quality, secret_scan, sharding, suffix_dedup, token_files, topk, url_filter
+from sensorflow.llm import mixing, near_dedup, packing, phrases, prefix_trie, quality, secret_scan, sharding, simhash, suffix_dedup, token_files, topk, url_filter
 from sensorflow.llm.staging import source, work_folder
 
 SHARD_BYTES = 32 << 20
@@ -80,6 +80,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(prefix_trie.with_shared_starts(turns))
 
 
+def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(source(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_extendible_sharding": op1_extendible_sharding,
     "op2_url_filter": op2_url_filter,
@@ -93,6 +97,7 @@ QUERIES = {
     "op10_token_files": op10_token_files,
     "op11_collocations": op11_collocations,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_simhash_near_dedup": op13_simhash_near_dedup,
 }
 
 OP1_SQL = f"""

@@ -13,4 +13,4 @@ def test_query_matches_sql(name, spark, sf_dir):
 
 def test_each_operator_has_one_query():
     numbers = sorted(int(name[2:].split("_")[0]) for name in QUERIES)
-    assert numbers == [*range(1, 13)]
+    assert numbers == [*range(1, 14)]
