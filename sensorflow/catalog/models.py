@@ -239,8 +239,16 @@ scores AS (SELECT max_depth, CAST(min_info_gain AS DOUBLE) AS min_info_gain, num
 FOLD_SQL = f"CAST({sql.row_hash('CAST(event_id AS VARCHAR)')} % {FOLDS} AS INT) AS fold"
 TRAINING_SQL = f"{sql.row_hash('CAST(event_id AS VARCHAR)')} % 100 < 80"
 FOLDED_SQL = f"SELECT label, {FOLD_SQL} FROM prepared WHERE {TRAINING_SQL}"
-GROUPED_SQL = f"""SELECT label, fold FROM prepared JOIN (SELECT subject, (row_number() OVER
-(ORDER BY {sql.row_hash('subject')}, subject) - 1) % {FOLDS} AS fold FROM (SELECT DISTINCT subject FROM prepared)) USING (subject)"""
+# Subjects by size, each to the first fold of the fewest rows so far.
+GROUPED_SQL = f"""SELECT label, fold FROM prepared JOIN (
+WITH RECURSIVE ranked AS (SELECT subject, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, {sql.row_hash('subject')}, subject) AS place FROM prepared GROUP BY subject),
+dealt AS (
+  SELECT 0::BIGINT AS place, NULL::VARCHAR AS subject, NULL::BIGINT AS fold, [{', '.join(['0::BIGINT'] * FOLDS)}] AS loads
+  UNION ALL
+  SELECT ranked.place, ranked.subject, list_position(loads, list_min(loads))::BIGINT - 1,
+         list_transform(loads, lambda x, i: CASE WHEN i = list_position(loads, list_min(loads)) THEN x + n ELSE x END)
+  FROM dealt JOIN ranked ON ranked.place = dealt.place + 1)
+SELECT subject, fold FROM dealt WHERE place > 0) USING (subject)"""
 GRID_SQL = " CROSS JOIN ".join(
     f"({sql.values((value,) for value in axis)}) AS {name}_axis({name})"
     for name, axis in (("max_depth", GRID_DEPTHS), ("min_info_gain", GRID_GAINS), ("num_trees", GRID_TREES))

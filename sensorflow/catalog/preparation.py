@@ -23,7 +23,7 @@ from sensorflow.plans.prepare import clean, label_and_fill, prepare
 from sensorflow.schema import ACTIVITY_NAMES, RESTING_HEART_RATE, SENSOR_SCHEMA
 from sensorflow.sources.dimensions import activity_names, check_subjects, literal_map, resting_heart_rate
 from sensorflow.sources.storage import shared_folder
-from sensorflow.sources.text import parse_lines, read_subject_files
+from sensorflow.sources.text import FILE_OFFSET, LINE_ORDER, ingest_changed_files, ingest_subject_files, parse_lines, read_subject_files
 
 TIEBREAK = ["event_id"]
 ORDER = ["timestamp", "event_id"]
@@ -46,6 +46,34 @@ def delimited_scan(spark, sf_dir):
     return text_samples(spark, sf_dir).select("subject", *SENSOR_SCHEMA.names)
 
 
+# Lines with a field too few or too many, or with an activity that is no number.
+BROKEN = "CASE event_id % 23 WHEN 3 THEN 'short' WHEN 5 THEN 'long' WHEN 7 THEN 'typed' ELSE 'good' END"
+
+
+def rescued_lines(spark, sf_dir):
+    """Cleaning counts of scanned text with injected bad lines, those counted."""
+    samples = sensor_samples(spark, sf_dir)
+    fields = [F.coalesce(F.col(name).cast("string"), F.lit("")) for name in SENSOR_SCHEMA.names]
+    broken = F.expr(BROKEN)
+    typed = [F.when(broken == "typed", F.lit("x")).otherwise(field) if name == "activityID" else field for name, field in zip(SENSOR_SCHEMA.names, fields)]
+    line = F.when(broken == "short", F.concat_ws(" ", *fields[:-1])).when(broken == "long", F.concat_ws(" ", *fields, F.lit("1"))).otherwise(F.concat_ws(" ", *typed))
+    folder = shared_folder(spark, "broken_text")
+    samples.select("subject", line.alias("value")).write.partitionBy("subject").text(f"{folder}/text")
+    rows = ingest_subject_files(spark, f"{folder}/text", f"{folder}/rows", subject_pattern=r"/subject=([^/]+)/", file_glob="*.txt")
+    return cleaning_counts(rows, [FILE_OFFSET, LINE_ORDER]).select("subject", "all_rows", "transient_rows", "kept_rows", "bad_lines")
+
+
+def changed_files(spark, sf_dir):
+    """Rows per subject and the ingest they came with: the second ingest finds new files of four subjects."""
+    folder = shared_folder(spark, "grown_text")
+    samples = sensor_samples(spark, sf_dir)
+    options = {"subject_pattern": r"/subject=([^/]+)/", "file_glob": "*.txt"}
+    for part in (F.col("subject") < "subject106", F.col("subject") >= "subject106"):
+        sample_lines(samples.filter(part)).write.mode("append").partitionBy("subject").text(f"{folder}/text")
+        rows = ingest_changed_files(spark, f"{folder}/text", f"{folder}/table", **options)
+    return rows.groupBy("subject", "ingest").agg(F.count("*").alias("rows"))
+
+
 def parsed_lines(spark, sf_dir):
     return parse_lines(sample_lines(sensor_samples(spark, sf_dir)))
 
@@ -219,6 +247,17 @@ SCANNED = f"SELECT subject, {', '.join(chr(34) + name + chr(34) for name in SENS
 ENTRIES = {
     "subject_catalogue_S1": (subject_catalogue, sql.steps() + "SELECT subject, count(*) AS rows FROM samples GROUP BY 1"),
     "delimited_scan_S2": (delimited_scan, sql.steps() + SCANNED),
+    "file_manifest_S1": (
+        changed_files,
+        sql.steps() + "SELECT subject, CAST(CASE WHEN subject < 'subject106' THEN 1 ELSE 2 END AS INT) AS ingest, count(*) AS rows FROM samples GROUP BY 1, 2",
+    ),
+    "rescued_lines_S2": (
+        rescued_lines,
+        sql.steps()
+        + f"""SELECT subject, count(*) AS all_rows, count(*) FILTER (WHERE activityID = 0 AND {BROKEN} <> 'typed') AS transient_rows,
+count(*) FILTER (WHERE activityID <> 0 AND {BROKEN} <> 'typed') AS kept_rows, count(*) FILTER (WHERE {BROKEN} <> 'good') AS bad_lines
+FROM samples GROUP BY subject""",
+    ),
     "line_parsing_S2": (parsed_lines, sql.steps() + SCANNED),
     "source_schema_S3": (schema_columns, _schema_sql()),
     "resting_dimension_S4": (

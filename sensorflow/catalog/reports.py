@@ -19,7 +19,7 @@ from sensorflow.operators.evaluate import (
     subject_report,
     true_classes,
 )
-from sensorflow.operators.labels import class_distribution, index_of_counts, label_index, with_label_index
+from sensorflow.operators.labels import class_distribution, label_index, with_index_of_counts, with_label_index
 from sensorflow.operators.report import append_measures, select_report
 
 CLASS_KEYS = ["subject", "class"]
@@ -40,7 +40,7 @@ def indexed_predictions(spark, sf_dir):
 def indexed_counts(spark, sf_dir):
     """Rows per true label with the label's index: the predictions are counted before the index is looked up."""
     counts = class_distribution(rule_predictions(spark, sf_dir).filter("label IS NOT NULL"))
-    return with_label_index(counts, index_of_counts(counts))
+    return with_index_of_counts(counts)
 
 
 def per_class(spark, sf_dir):

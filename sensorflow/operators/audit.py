@@ -15,10 +15,12 @@ from sensorflow.operators.report import to_measures
 from sensorflow.schema import (
     ACTIVITY,
     ACTIVITY_NAMES,
+    BAD_LINE,
     DROPPED_QUANTITY,
     FILL_ROWS,
     HEART_RATE,
     RESTING_HEART_RATE,
+    SOURCE_FILE,
     SUBJECT,
     TIME,
     TRANSIENT_CODE,
@@ -50,9 +52,11 @@ def cleaning_counts(
 
     Kept and transient rows form separate series, so a transient row never feeds
     the fill. Whether the other columns are complete is decided before the
-    shuffle, which then carries one flag instead of all sensor columns.
+    shuffle, which then carries one flag instead of all sensor columns. Where
+    bad lines were rescued, they are counted, too.
     """
-    others = [c for c in samples.columns if DROPPED_QUANTITY not in c and c != signal]
+    others = [c for c in samples.columns if DROPPED_QUANTITY not in c and c not in (signal, BAD_LINE, SOURCE_FILE)]
+    rescued = [F.col(BAD_LINE).isNotNull().alias("bad")] if BAD_LINE in samples.columns else []
     named = _is_true(F.col(activity).isin(*names))
     flagged = missing_to_null(
         samples.select(
@@ -63,6 +67,7 @@ def cleaning_counts(
             _is_true(F.col(activity) == TRANSIENT_CODE).alias("transient"),
             _is_true(F.col(activity) != TRANSIENT_CODE).alias("kept"),
             (all_present(samples, others) & named).alias("complete"),
+            *rescued,
         ),
         [subject, *tiebreak],
     )
@@ -72,6 +77,7 @@ def cleaning_counts(
         F.count_if("transient").alias("transient_rows"),
         F.count_if("kept").alias("kept_rows"),
         F.count_if(F.col("kept") & F.col("complete") & F.col(signal).isNotNull()).alias("complete_rows"),
+        *([F.count_if("bad").alias("bad_lines")] if rescued else []),
     )
     complete = F.when(F.col("_level").isNotNull(), F.col("complete_rows")).otherwise(0)
     return with_baseline(counts, baseline, "_level", subject).withColumn("complete_rows", complete).drop("_level")
@@ -83,6 +89,7 @@ def stored_counts(samples: DataFrame, prepared: DataFrame, subject: str = SUBJEC
         F.count("*").alias("all_rows"),
         F.count_if(F.col(activity) == TRANSIENT_CODE).alias("transient_rows"),
         F.count_if(F.col(activity) != TRANSIENT_CODE).alias("kept_rows"),
+        *([F.count(BAD_LINE).alias("bad_lines")] if BAD_LINE in samples.columns else []),
     )
     complete = prepared.groupBy(subject).agg(F.count("*").alias("complete_rows"))
     return read.join(complete, subject, "left").fillna(0, ["complete_rows"])

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sensorflow.operators.lookup import look_up
 from sensorflow.schema import ACTIVITY, ACTIVITY_NAMES, HEART_RATE, LABEL, SUBJECT, TEMPERATURE_COLUMNS, TIME
 from sensorflow.sources.dimensions import literal_map
 
@@ -22,8 +23,8 @@ def with_baseline(
     """Add the subject's baseline, null for a subject without one.
 
     A mapping becomes a literal. Of a table, ``column`` holds the baseline; it may be left out where the
-    table has one column besides the subject. Two rows for one subject are an error when they are read. The table
-    is joined without a broadcast hint: its size is not known here, so Spark decides.
+    table has one column besides the subject. Two rows for one subject are an error when they are read. The table is
+    counted and joined as :func:`~sensorflow.operators.lookup.look_up` says, so a subject with most of the rows is in no single task.
     """
     if not isinstance(baseline, DataFrame):
         return df.withColumn(output, literal_map(baseline)[F.col(subject)])
@@ -35,7 +36,7 @@ def with_baseline(
     twice = F.raise_error(F.concat(F.lit("two baselines for subject "), F.col(subject).cast("string")))
     levels = baseline.groupBy(subject).agg(F.count("*").alias("_rows"), F.first(column).alias("_level"))
     single = levels.select(subject, F.when(F.col("_rows") > 1, twice).otherwise(F.col("_level")).alias(output))
-    return df.join(single, subject, "left")
+    return look_up(df, single, [subject])
 
 
 def subtract_baseline(

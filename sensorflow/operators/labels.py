@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sensorflow.operators.lookup import look_up
 from sensorflow.schema import INDEXED_LABEL, LABEL, SUBJECT
 
 
@@ -33,8 +34,16 @@ def with_label_index(df: DataFrame, index: DataFrame, label: str = LABEL, output
                      by: Sequence[str] = (SUBJECT,)) -> DataFrame:
     """Look up the index of a label column; null for a label without one.
 
-    The index has one row per subject and label. It is joined without a hint,
-    so Spark broadcasts it only where it is small.
+    The index has one row per subject and label. It is counted and joined as
+    :func:`~sensorflow.operators.lookup.look_up` says: rows are not shuffled by their few labels.
     """
-    lookup = index.select(*by, F.col(LABEL).alias(label), F.col(INDEXED_LABEL).alias(output))
-    return df.join(lookup, [*by, label], "left")
+    return look_up(df, _renamed(index, label, output, by), [*by, label])
+
+
+def with_index_of_counts(counts: DataFrame, by: Sequence[str] = (SUBJECT,)) -> DataFrame:
+    """A class distribution with the index of each label, by a plain join of two tables of one row per label."""
+    return counts.join(_renamed(index_of_counts(counts, by=by), LABEL, INDEXED_LABEL, by), [*by, LABEL], "left")
+
+
+def _renamed(index: DataFrame, label: str, output: str, by: Sequence[str]) -> DataFrame:
+    return index.select(*by, F.col(LABEL).alias(label), F.col(INDEXED_LABEL).alias(output))

@@ -143,13 +143,13 @@ def best_parameters(spark: SparkSession, tuned: TunedForest) -> DataFrame:
     return spark.createDataFrame([best[:3]], "max_depth int, min_info_gain double, num_trees int")
 
 
+def model_importances(model: PipelineModel) -> list[tuple[str, float]]:
+    return [(name, float(value)) for name, value in zip(model.stages[1].getInputCols(), model.stages[2].featureImportances.toArray())]
+
+
 def feature_importances(spark: SparkSession, models: Mapping[str, PipelineModel]) -> DataFrame:
     """Importance of each feature per subject, by the column names stored in the model."""
-    rows = [
-        (subject, name, float(value))
-        for subject, model in models.items()
-        for name, value in zip(model.stages[1].getInputCols(), model.stages[2].featureImportances.toArray())
-    ]
+    rows = [(subject, *entry) for subject, model in models.items() for entry in model_importances(model)]
     return spark.createDataFrame(rows, f"{SUBJECT} string, feature string, value double")
 
 

@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame
 from sensorflow.operators.clean import drop_columns_like, drop_incomplete, drop_transient, missing_to_null
 from sensorflow.operators.derive import mean_temperature, name_labels, subtract_baseline
 from sensorflow.operators.impute import ROWS_PER_TASK, forward_fill
-from sensorflow.schema import FILL_ROWS, HEART_RATE, RESTING_HEART_RATE, SUBJECT, TIME
+from sensorflow.schema import BAD_LINE, FILL_ROWS, HEART_RATE, RESTING_HEART_RATE, SOURCE_FILE, SUBJECT, TIME
+
+# Columns that tell where a sample comes from; a good line has no text of a bad one.
+NOT_SAMPLED = (BAD_LINE, SOURCE_FILE)
 
 
 def clean(samples: DataFrame) -> DataFrame:
-    return drop_columns_like(drop_transient(samples))
+    return drop_columns_like(drop_transient(samples)).drop(*NOT_SAMPLED)
 
 
 def label_and_fill(

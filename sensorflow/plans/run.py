@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator, Mapping, Sequence
-from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
+from collections.abc import Iterator, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
+from itertools import islice
 
 from pyspark import inheritable_thread_target
-from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -19,18 +20,32 @@ from sensorflow.operators.evaluate import class_metrics, class_report, confusion
 from sensorflow.operators.impute import ROWS_PER_TASK
 from sensorflow.operators.report import select_report
 from sensorflow.operators.split import hash_split, in_training
-from sensorflow.plans.forest import feature_importances, grid_scores, index_labels, train, tune
+from sensorflow.plans.forest import index_labels, model_importances, train, tune
 from sensorflow.plans.prepare import prepare
 from sensorflow.schema import INDEXED_LABEL, LABEL, PREDICTED_LABEL, RESTING_HEART_RATE, SUBJECT, TIME
 from sensorflow.sources.dimensions import check_subjects
-from sensorflow.sources.storage import read_by_subject, shared_folder, write_by_subject
+from sensorflow.sources.storage import read_by_subject, read_if_any, shared_folder, stage, write_by_subject
 from sensorflow.sources.text import FILE_OFFSET, LINE_ORDER, ingest_subject_files
 
 MODES = ("baseline", "tuned")
 RESULT_COLUMNS = (LABEL, INDEXED_LABEL, "prediction", PREDICTED_LABEL)
-DONE = f"{SUBJECT} string, reason string"
-IMPORTANCES = f"{SUBJECT} string, feature string, value double"
-SCORES = f"{SUBJECT} string, max_depth int, min_info_gain double, num_trees int, accuracy double"
+LEDGER = (
+    f"{SUBJECT} string, reason string, importances array<struct<feature: string, value: double>>, "
+    "scores array<struct<max_depth: int, min_info_gain: double, num_trees: int, accuracy: double>>"
+)
+BATCH = "run_batch"
+SUBJECTS_PER_BATCH = 16
+
+
+@dataclass(frozen=True)
+class Outcome:
+    """What the fit of one subject gave: scored held-out rows, or the reason why there are none."""
+
+    subject: str
+    reason: str | None = None
+    scored: DataFrame | None = None
+    importances: list | None = None
+    scores: list | None = None
 
 
 class StoredModels(Mapping):
@@ -95,6 +110,7 @@ def run(
     folder: str | None = None,
     subjects_at_once: int = 4,
     rows_per_task: int | None = ROWS_PER_TASK,
+    subjects_per_batch: int = SUBJECTS_PER_BATCH,
     **settings,
 ) -> RunResult:
     """Prepare, train and score every subject; ``settings`` go to the forest or the grid search.
@@ -106,104 +122,96 @@ def run(
     Each fit is a distributed Spark ML job over one subject's directory;
     ``subjects_at_once`` of them run side by side. Both modes score held-out rows.
 
-    Subjects are read one by one and all results go to ``folder``, so the driver holds no list of them. A subject that
+    Subjects are read and finished in batches, so the driver holds no list of all of them. The predictions of a batch are one table; then one row per subject
+    with its other results is committed to the ledger, and a batch without such rows counts as not done. A subject that
     has no training rows or whose fit fails is in ``skipped``; the others are finished. A second call with the same
-    folder and arguments goes on where the first one stopped.
+    folder and arguments goes on where the first one stopped, wherever that was.
     """
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}, choose from {MODES}")
     spark = samples.sparkSession
     folder = folder or shared_folder(spark, "run")
-    prepared_path = f"{folder}/prepared"
-    if not written(spark, prepared_path):
+
+    def prepare_all(path: str) -> DataFrame:
         check_subjects(samples, baseline)
-        write_by_subject(prepare(samples, tiebreak, baseline=baseline, rows_per_task=rows_per_task), prepared_path)
-    prepared = read_by_subject(spark, prepared_path)
-    if not written(spark, f"{folder}/cleaning"):
-        stored_counts(samples, prepared).write.parquet(f"{folder}/cleaning")
-    cleaning = spark.read.parquet(f"{folder}/cleaning")
+        return write_by_subject(prepare(samples, tiebreak, baseline=baseline, rows_per_task=rows_per_task), path, mode="overwrite")
+
+    prepared = stage(spark, folder, "prepared", prepare_all, lambda path: read_by_subject(spark, path))
+    counted = lambda path: overwritten(stored_counts(samples, prepared), path)
+    cleaning = stage(spark, folder, "cleaning", counted, spark.read.parquet)
     key = [SUBJECT, *tiebreak]
     columns = feature_columns(prepared, key)
 
-    def fit(counted: Row) -> None:
-        """Model, importances, scores and predictions of one subject, and last a row that says it is done."""
-        subject, reason = counted[SUBJECT], None
+    def fit(counted: Row) -> Outcome:
+        subject = counted[SUBJECT]
+        if not counted.training_rows:
+            return Outcome(subject, "no training rows")
         try:
-            if not counted.training_rows:
-                reason = "no training rows"
-            else:
-                model, scored, scores = fitted(prepared.filter(F.col(SUBJECT) == subject), counted.rows)
-                model.write().overwrite().save(subject_path(folder, "models", subject))
-                write(feature_importances(spark, {subject: model}), "importances", subject)
-                if scores is not None:
-                    write(scores.withColumn(SUBJECT, F.lit(subject)), "scores", subject)
-                write(scored.select(*key, TIME, *RESULT_COLUMNS), "predictions", subject)
+            model, scored, scores = fitted(prepared.filter(F.col(SUBJECT) == subject), counted.rows)
+            model.write().overwrite().save(subject_path(folder, "models", subject))
+            return Outcome(subject, None, scored.select(*key, TIME, *RESULT_COLUMNS), model_importances(model), scores)
         except Exception as error:  # the other subjects go on; the run reports this one
-            reason = f"{type(error).__name__}: {error}"[:500]
-        write(spark.createDataFrame([(subject, reason)], DONE), "finished", subject)
+            return Outcome(subject, failure(error))
 
-    def fitted(rows: DataFrame, n: int) -> tuple[PipelineModel, DataFrame, DataFrame | None]:
+    def fitted(rows: DataFrame, n: int) -> tuple[PipelineModel, DataFrame, list | None]:
         if mode == "baseline":
             return *train(rows, columns, key, n, **settings), None
         training, held_out = hash_split(rows, key)
         tuned = tune(training, columns, key, indexer=index_labels(rows), **settings)
-        return tuned.model, tuned.model.transform(held_out), grid_scores(spark, tuned)
+        return tuned.model, tuned.model.transform(held_out), tuned.scores
 
-    def write(df: DataFrame, kind: str, subject: str) -> None:
-        df.write.mode("overwrite").parquet(subject_path(folder, kind, subject))
+    kinds = {name: kind for name, kind in prepared.dtypes}
+    scored = ", ".join([*[f"`{name}` {kinds[name]}" for name in [*key, TIME]], f"{LABEL} string, {INDEXED_LABEL} double, prediction double, {PREDICTED_LABEL} string"])
 
-    finished = read_runs(spark, folder, "finished", DONE)
+    def commit(outcomes: list[Outcome], number: int) -> int:
+        """Write a batch and its ledger rows; returns the next number. Rows that cannot be written whole are found subject by subject."""
+        rows = [outcome.scored for outcome in outcomes if outcome.scored is not None]
+        try:
+            if rows:
+                overwritten(reduce(DataFrame.unionByName, rows), f"{folder}/predictions/{BATCH}={number}")
+        except Exception as error:
+            if len(outcomes) == 1:
+                return commit([Outcome(outcomes[0].subject, failure(error))], number)
+            for outcome in outcomes:
+                number = commit([outcome], number)
+            return number
+        entries = [(outcome.subject, outcome.reason, outcome.importances, outcome.scores) for outcome in outcomes]
+        overwritten(spark.createDataFrame(entries, LEDGER).coalesce(1), f"{folder}/ledger/{BATCH}={number}")
+        return number + 1
+
+    ledger = read_if_any(spark, f"{folder}/ledger", f"{LEDGER}, {BATCH} int")
+    number = (ledger.agg(F.max(BATCH)).first()[0] or 0) + 1
     counts = prepared.groupBy(SUBJECT).agg(F.count("*").alias("rows"), F.count_if(in_training(key)).alias("training_rows"))
-    waiting = counts.join(finished.select(SUBJECT), SUBJECT, "left_anti").orderBy(SUBJECT)
-    in_turn(inheritable_thread_target(spark)(fit), waiting.toLocalIterator(), subjects_at_once)
+    waiting = counts.join(ledger.select(SUBJECT), SUBJECT, "left_anti").orderBy(SUBJECT).toLocalIterator()
+    with ThreadPoolExecutor(subjects_at_once) as pool:
+        while batch := list(islice(waiting, subjects_per_batch)):
+            number = commit(list(pool.map(inheritable_thread_target(spark)(fit), batch)), number)
 
-    finished = read_runs(spark, folder, "finished", DONE)
-    kinds = {name: kind for name, kind in prepared.dtypes}
-    scored = ", ".join([*[f"`{name}` {kinds[name]}" for name in [*key, TIME]], f"{LABEL} string, {INDEXED_LABEL} double, prediction double, {PREDICTED_LABEL} string"])
+    ledger = read_if_any(spark, f"{folder}/ledger", f"{LEDGER}, {BATCH} int")
+    done = F.col(BATCH) < number
     return RunResult(
-        read_runs(spark, folder, "predictions", scored),
-        read_runs(spark, folder, "importances", IMPORTANCES),
+        read_if_any(spark, f"{folder}/predictions", f"{scored}, {BATCH} int").filter(done).drop(BATCH),
+        ledger.filter("importances IS NOT NULL").select(SUBJECT, F.inline("importances")),
         cleaning,
-        read_runs(spark, folder, "scores", SCORES),
-        finished.filter("reason IS NOT NULL"),
-        StoredModels(folder, finished),
+        ledger.filter("scores IS NOT NULL").select(SUBJECT, F.inline("scores")),
+        ledger.filter("reason IS NOT NULL").select(SUBJECT, "reason"),
+        StoredModels(folder, ledger),
         prepared,
     )
 
 
-def in_turn(work: Callable[[Row], None], items: Iterator[Row], at_once: int) -> None:
-    """Work on a few items at a time."""
-    with ThreadPoolExecutor(at_once) as pool:
-        running = set()
-        for item in items:
-            if len(running) >= at_once:
-                done, running = wait(running, return_when=FIRST_COMPLETED)
-                for one in done:
-                    one.result()
-            running.add(pool.submit(work, item))
-        for one in running:
-            one.result()
-
-
-def written(spark: SparkSession, path: str) -> bool:
-    """Whether a Parquet table was written whole: unfinished writes leave no files to read a schema from."""
-    try:
-        return bool(spark.read.parquet(path).columns)
-    except AnalysisException:
-        return False
+def failure(error: Exception) -> str:
+    return f"{type(error).__name__}: {error}"[:500]
 
 
-def read_runs(spark: SparkSession, folder: str, kind: str, schema: str) -> DataFrame:
-    """A result of all subjects; empty where none has it."""
-    if not written(spark, f"{folder}/{kind}"):
-        return spark.createDataFrame([], schema)
-    names = spark.createDataFrame([], schema).columns
-    return spark.read.schema(f"{schema}, run string").parquet(f"{folder}/{kind}").select(*[f"`{name}`" for name in names])
+def overwritten(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def run_files(spark: SparkSession, path: str | list[str], folder: str | None = None, **options) -> RunResult:
     """Run over subjects' text files: they are parsed once into a stored table first."""
     folder = folder or shared_folder(spark, "run")
-    parsed = f"{folder}/samples"
-    samples = read_by_subject(spark, parsed) if written(spark, parsed) else ingest_subject_files(spark, path, parsed)
+    ingest = lambda parsed: ingest_subject_files(spark, path, parsed, mode="overwrite")
+    samples = stage(spark, folder, "samples", ingest, lambda parsed: read_by_subject(spark, parsed))
     return run(samples, [FILE_OFFSET, LINE_ORDER], folder=folder, **options)

@@ -22,6 +22,8 @@ HEART_RATE = "heart_rate"
 LABEL = "label"
 INDEXED_LABEL = "indexed_label"
 PREDICTED_LABEL = "predicted_label"
+BAD_LINE = "bad_line"
+SOURCE_FILE = "source_file"
 
 TRANSIENT_CODE = 0
 FILL_ROWS = 20

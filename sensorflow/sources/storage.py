@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -22,13 +24,41 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def write_by_subject(df: DataFrame, path: str, subject: str = SUBJECT) -> DataFrame:
+def read_if_any(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A Parquet table of this schema; empty where nothing was written."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
+def stage(spark: SparkSession, folder: str, name: str, write: Callable[[str], DataFrame], read: Callable[[str], DataFrame]) -> DataFrame:
+    """A table of a job that can be continued: ``name`` in ``folder``, read back if it was written whole, else written anew.
+
+    It is whole if the marker that is committed after it is there and has its number of rows. What an interrupted
+    write left is replaced; so ``write`` must overwrite.
+    """
+    path, marker = f"{folder}/{name}", f"{folder}/committed/{name}"
+    marked = [row.rows for row in read_if_any(spark, marker, "rows long").collect()]
+    if marked:
+        try:
+            known = read(path)
+            if marked == [known.count()]:
+                return known
+        except AnalysisException:
+            pass  # the table is gone: written anew
+    table = write(path)
+    spark.createDataFrame([(table.count(),)], "rows long").coalesce(1).write.mode("overwrite").parquet(marker)
+    return table
+
+
+def write_by_subject(df: DataFrame, path: str, subject: str = SUBJECT, mode: str = "error") -> DataFrame:
     """Write a Parquet table with one directory per subject and read it back.
 
     No repartition first: tasks write what they hold, so a subject with most of
     the rows is written by many tasks.
     """
-    df.write.partitionBy(subject).parquet(path)
+    df.write.mode(mode).partitionBy(subject).parquet(path)
     return read_by_subject(df.sparkSession, path, df.schema)
 
 

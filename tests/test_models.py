@@ -163,6 +163,52 @@ def test_no_group_fold_is_empty(spark):
     assert sorted((r.fold, r.n) for r in folds) == [(0, 2), (1, 2), (2, 2), (3, 2), (4, 1)]
 
 
+def test_folds_are_balanced_with_a_subject_of_half_the_rows(spark):
+    rows = spark.range(1000).selectExpr("CASE WHEN id < 500 THEN 'hot' ELSE 's' || CAST(id % 18 AS STRING) END AS subject", "id")
+    folded = with_group_fold(rows, ["subject"], 5)
+    assert folded.count() == 1000 and folded.columns == ["subject", "id", "fold"]
+    folds = folded.groupBy("fold").agg(F.count_distinct("subject").alias("n"), F.count("*").alias("rows")).collect()
+    assert sorted((r.n for r in folds if r.rows < 500)) == [4, 4, 5, 5] and len(folds) == 5
+    assert folded.groupBy("subject").agg(F.count_distinct("fold").alias("n")).filter("n > 1").count() == 0
+
+
+def test_very_many_groups_fill_up_the_folds(spark):
+    """Groups too small to be dealt one by one; null is a group."""
+    rows = spark.range(60_000).selectExpr("CASE WHEN id < 20000 THEN 'hot' WHEN id < 20100 THEN NULL ELSE CAST(id % 7000 AS STRING) END AS subject")
+    folded = with_group_fold(rows, ["subject"], 5).cache()
+    sizes = sorted(r["count"] for r in folded.groupBy("fold").count().collect())
+    assert sum(sizes) == 60_000 and sizes[-1] == 20_000 and sizes[3] - sizes[0] <= 120
+    assert folded.groupBy("subject").agg(F.count_distinct("fold").alias("n")).filter("n > 1").count() == 0
+
+
+def test_an_interrupted_run_is_continued(spark, sf_dir, tmp_path):
+    """A stage without its marker, files of a write that stopped, and a batch without ledger rows are done again."""
+    samples = sensor_samples(spark, sf_dir, TWO_SUBJECTS, FOUR)
+    folder = tmp_path / "run"
+    whole = run(samples, KEY, folder=f"{tmp_path}/whole", trees=5)
+    part = f"{folder}/prepared"
+    whole.prepared.limit(50).write.partitionBy("subject").parquet(part)
+    (folder / "prepared" / "_SUCCESS").unlink()
+    (folder / "prepared" / "_temporary").mkdir()
+    (folder / "cleaning" / "_temporary").mkdir(parents=True)
+    whole.predictions.limit(3).write.parquet(f"{folder}/predictions/run_batch=1")
+    result = run(samples, KEY, folder=str(folder), trees=5, subjects_per_batch=1)
+    assert result.prepared.count() == whole.prepared.count()
+    found, wanted = (sorted(map(tuple, r.predictions.select("subject", "event_id", "prediction").collect())) for r in (result, whole))
+    assert found == wanted
+    assert result.cleaning.exceptAll(whole.cleaning).isEmpty()
+    # A ledger without the last batch: only that subject is trained again.
+    lost = next((folder / "ledger" / "run_batch=2").glob("*.parquet"))
+    kept = {p: p.stat().st_mtime_ns for p in (folder / "predictions" / "run_batch=1").glob("*.parquet")}
+    lost.rename(tmp_path / "lost.parquet")
+    again = run(samples, KEY, folder=str(folder), trees=5)
+    assert sorted(map(tuple, again.predictions.select("subject", "event_id", "prediction").collect())) == wanted
+    assert {p: p.stat().st_mtime_ns for p in (folder / "predictions" / "run_batch=1").glob("*.parquet")} == kept
+    # A marker that tells another number of rows than the table has.
+    next((folder / "prepared").glob("subject=*/*.parquet")).rename(tmp_path / "part.parquet")
+    assert run(samples, KEY, folder=str(folder), trees=5).prepared.count() == whole.prepared.count()
+
+
 def test_a_run_reports_subjects_it_cannot_train_and_goes_on_where_it_stopped(spark, sf_dir, tmp_path):
     """One subject has a single complete row, which the split holds out."""
     samples = sensor_samples(spark, sf_dir, TWO_SUBJECTS, FOUR)

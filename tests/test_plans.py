@@ -10,6 +10,7 @@ from sensorflow.catalog.samples import sensor_samples
 from sensorflow.operators.audit import cleaning_counts
 from sensorflow.operators.clean import drop_transient
 from sensorflow.operators.evaluate import confusion
+from sensorflow.operators.lookup import look_up
 from sensorflow.operators.impute import _cut_points, _renamed, _with_chunk, forward_fill
 from sensorflow.catalog.samples import rule_predictions
 from sensorflow.sources.text import read_subject_files
@@ -52,6 +53,34 @@ def test_labels_are_counted_before_their_index_is_looked_up(spark, sf_dir):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_labels_are_looked_up_without_shuffling_rows(spark, sf_dir):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        text = plan(reports.indexed_predictions(spark, sf_dir), "simple")
+        # The only exchanges are those of the label counts, whose rows are reduced before.
+        assert text.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in text
+        for found in re.finditer(r"Exchange hashpartitioning[^\n]*\n[^\n]*", text):
+            assert "HashAggregate" in found.group()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_hot_subject_is_looked_up_without_a_shuffle(spark):
+    """A table too large to broadcast, and a subject that has 90 % of the rows."""
+    rows = spark.range(5000).selectExpr("CASE WHEN id % 10 > 0 THEN 'hot' WHEN id % 50 = 0 THEN NULL ELSE 's' || CAST(id % 300 AS STRING) END AS subject", "id", "2.0 AS v")
+    table = spark.range(400).selectExpr("CASE WHEN id = 1 THEN 'hot' ELSE 's' || CAST(id AS STRING) END AS subject", "CAST(id AS DOUBLE) AS level")
+    found = look_up(rows, table, ["subject"], most_rows=100, hot_keys=5)
+    text = plan(found, "simple")
+    assert "BroadcastHashJoin" in text and "CartesianProduct" not in text and "NestedLoop" not in text
+    got = {r.id: (r.subject, r.v, r.level) for r in found.collect()}
+    levels = {r.subject: r.level for r in table.collect()}
+    wanted = {r.id: (r.subject, r.v, levels.get(r.subject)) for r in rows.collect()}
+    assert got == wanted and found.columns == ["subject", "id", "v", "level"]
+    # What is shuffled by subject has left the hot rows behind.
+    rest = [node for node in text.split("\n") if "Filter isnull(_hot" in node]
+    assert rest
+
+
 def test_transient_filter_reaches_the_text_scan(spark, tmp_path):
     (tmp_path / "subject101.dat").write_text("0.0 1 100\n")
     text = plan(drop_transient(read_subject_files(spark, str(tmp_path))))

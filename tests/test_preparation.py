@@ -14,7 +14,7 @@ from sensorflow.plans.prepare import clean, label_and_fill, prepare
 from sensorflow.schema import ACTIVITY_NAMES, RESTING_HEART_RATE, SENSOR_COLUMNS, SENSOR_SCHEMA
 from sensorflow.sources.dimensions import check_subjects, resting_heart_rate
 from sensorflow.sources.storage import read_by_subject, shared_folder
-from sensorflow.sources.text import ingest_subject_files, parse_lines, read_subject_files, with_line_order
+from sensorflow.sources.text import ingest_changed_files, ingest_subject_files, read_ingested, read_manifest, parse_lines, read_subject_files, with_line_order
 
 
 def line(time, activity, heart_rate, fields=51, **changed):
@@ -253,3 +253,38 @@ def test_subject_names_survive_paths(spark, tmp_path):
     (tmp_path / "other" / "x.txt").write_text("0.0 1 100\n")
     with pytest.raises(Exception, match="no subject in the file path"):
         read_subject_files(spark, str(tmp_path / "other"), file_glob="*.txt").select("subject").collect()
+
+
+def test_bad_lines_are_rescued_and_counted(spark, recordings, tmp_path):
+    samples = ingest_subject_files(spark, recordings, str(tmp_path / "rows"))
+    bad = {r.timestamp: r.bad_line for r in samples.filter("bad_line IS NOT NULL").collect()}
+    assert sorted(bad) == [0.05, 0.07, 0.08, 0.09] and bad[0.09] == line(0.09, 16, "oops")
+    tiebreak = ["file_offset", "line_order"]
+    counted = {r.subject: r.bad_lines for r in cleaning_counts(samples, tiebreak).collect()}
+    assert counted == {"subject101": 4, "subject108": 0}
+    plain = with_line_order(read_subject_files(spark, recordings))
+    report = lambda rows: sorted(map(tuple, cleaning_report(cleaning_counts(rows, tiebreak)).collect()))
+    assert report(samples) == report(plain)
+    assert set(prepare(samples, tiebreak).columns) == set(prepare(plain, tiebreak).columns)
+    assert prepare(samples, tiebreak).count() == prepare(plain, tiebreak).count()
+    stored = stored_counts(samples, prepare(samples, tiebreak))
+    assert {r.subject: r.bad_lines for r in stored.collect()} == counted
+
+
+def test_only_added_and_changed_files_are_parsed_again(spark, recordings, tmp_path):
+    from pathlib import Path
+
+    folder, target = Path(recordings), str(tmp_path / "table")
+    rows = lambda df: sorted((r.subject, r.timestamp, r.ingest) for r in df.collect())
+    first = ingest_changed_files(spark, recordings, target)
+    assert len(rows(first)) == 12 and {r[2] for r in rows(first)} == {1}
+    assert rows(ingest_changed_files(spark, recordings, target)) == rows(first)
+    (folder / "subject102.dat").write_text(line(5.0, 1, 80) + "\n")
+    (folder / "subject108.dat").write_text(line(1.0, 24, 60) + "\n")
+    # An ingest that stopped before its entries were written.
+    first.limit(1).drop("ingest").write.parquet(f"{target}/rows/ingest=2")
+    second = rows(ingest_changed_files(spark, recordings, target))
+    assert [r for r in second if r[0] != "subject101"] == [("subject102", 5.0, 2), ("subject108", 1.0, 2)]
+    assert [r for r in second if r[0] == "subject101"] == [r for r in rows(first) if r[0] == "subject101"]
+    assert sorted(r.ingest for r in read_manifest(spark, target).collect()) == [1, 2, 2]
+    assert rows(read_ingested(spark, target)) == second
