@@ -57,6 +57,11 @@ def _scores(block: pa.Table, width: int, exact: bool):
     return queries, candidates, slices
 
 
+def _bins(scores: np.ndarray, low: np.int64, step: np.int64) -> np.ndarray:
+    """Bins of scores from ``low`` on; their distance may pass a signed number, an unsigned one holds it."""
+    return ((scores.view(np.uint64) - np.array(low).view(np.uint64)) // np.uint64(step)).astype(np.int64)
+
+
 def _histogram(width: int, exact: bool):
     """Per query, counts of the bins from the block's highest down to where ``need`` scores are counted; lower bins cannot matter."""
 
@@ -71,7 +76,7 @@ def _histogram(width: int, exact: bool):
                 mine = mine[(mine >= low[q]) & (mine <= high[q])]
                 if len(mine) > need[q]:
                     mine = mine[mine >= np.partition(mine, len(mine) - need[q])[len(mine) - need[q]]]
-                found, counts = np.unique((mine - low[q]) // step[q], return_counts=True)
+                found, counts = np.unique(_bins(mine, low[q], step[q]), return_counts=True)
                 out.append(np.stack([np.full(len(found), rows[q]), found, counts]))
         row, bin_, n = np.concatenate(out, axis=1)
         return pa.table({"row": row, "bin": bin_, "n": n})
@@ -103,11 +108,11 @@ def _winners(width: int, exact: bool, k: int):
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", scale: int = 64, folder: str | None = None) -> DataFrame:
-    """The k highest integer inner products of each query with every other row: query_id, rank (from 1), vec_id, score.
+    """The k highest integer inner products of each query with every other row: query_id, rank (from 1), vec_id, score, held.
 
     Ties go to the smaller id. Rows whose id is null, and vectors that are null or hold null or non-finite components, take no part.
     Vectors of unequal length are compared over the shorter length, empty ones score 0. Repeated rows are separate
-    rows: only the query's own row is left out. Components and scores beyond a long are held at its limits.
+    rows: only the query's own row is left out. Components and scores beyond a long are held at its limits; such scores tie, and ``held`` marks them.
     """
     spark, folder = vectors.sparkSession, folder or work_folder(vectors.sparkSession, "topk")
     named = vectors.select(
@@ -119,7 +124,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id"
     rows = stored(named, f"{folder}/rows")
     norm = F.aggregate("vector", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
     n, n_queries, width, largest = rows.agg(F.count("*"), F.count_if("is_query"), F.max(F.size("vector")), F.max(norm)).first()
-    result = "query_id long, rank int, vec_id long, score long"
+    result = "query_id long, rank int, vec_id long, score long, held boolean"
     if not n_queries:
         return spark.createDataFrame([], result)
     exact = largest < float(1 << 52)
@@ -148,11 +153,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id"
         old = state.select(F.col("row").alias("r"), "low", "high", "step", "need")
         at = reached.join(old, F.col("row") == F.col("r")).filter(F.col("upto") >= F.col("need"))
         hit = at.groupBy("row").agg(F.min(F.struct("upto", "bin", "n", "low", "high", "step", "need")).alias("h")).select("row", "h.*")
-        low = F.col("low") + F.col("bin") * F.col("step")
+        wide = lambda name: F.col(name).cast("decimal(20, 0)")  # noqa: E731  sums and products that pass a long on the way
+        low = wide("low") + wide("bin") * wide("step")
         finer = hit.select(
             "row",
-            low.alias("low"),
-            F.least(F.col("high"), low + F.col("step") - 1).alias("high"),
+            low.cast("long").alias("low"),
+            F.least(wide("high"), low + wide("step") - 1).cast("long").alias("high"),
             F.greatest(F.lit(1), F.ceil(F.col("step") / BINS)).cast("long").alias("step"),
             (F.col("need") - (F.col("upto") - F.col("n"))).alias("need"),
         )
@@ -166,4 +172,4 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id"
     best = cells(state).applyInArrow(_winners(width, exact, k), "row long, query_id long, vec_row long, vec_id long, score long")
     order = Window.partitionBy("row").orderBy(F.col("score").desc(), "vec_id", "vec_row")
     ranked = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    return ranked.select("query_id", "rank", "vec_id", "score", (F.abs("score") == LONG).alias("held"))

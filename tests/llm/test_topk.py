@@ -8,12 +8,13 @@ from sensorflow.llm import topk
 
 
 def brute(rows, k, is_query):
-    usable = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    usable = [(i, [max(-(2**63), min(topk.LONG, math.floor(64 * float(np.float32(x))))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
     for n, (i, v) in enumerate(usable):
         if is_query(i):
-            scored = sorted((-sum(a * b for a, b in zip(v, w)), j) for m, (j, w) in enumerate(usable) if m != n)
-            out += [(i, rank, j, -s) for rank, (s, j) in enumerate(scored[:k], 1)]
+            held = lambda s: max(-topk.LONG, min(topk.LONG, s))
+            scored = sorted((-held(sum(a * b for a, b in zip(v, w))), j) for m, (j, w) in enumerate(usable) if m != n)
+            out += [(i, rank, j, -s, abs(s) == topk.LONG) for rank, (s, j) in enumerate(scored[:k], 1)]
     return sorted(out)
 
 
@@ -43,3 +44,10 @@ def test_odd_vectors(spark):
 def test_large_components_are_exact(spark):
     rows = [(i, [float(2**24 + i), float(2**23 - 3 * i)]) for i in range(8)]
     assert run(spark, rows, 4, F.col("vec_id") == 0) == brute(rows, 4, lambda i: i == 0)
+
+
+@pytest.mark.parametrize("first", [2.0**24, 2.0**25, 2.0**25 * 1.4, 2.0**27, 1e30])
+def test_scores_around_the_limits_of_a_long(spark, first):
+    """Squared norms below and above 2^62 and beyond a long, scores of both signs."""
+    rows = [(i, [first, (i - 4) * first / 32]) for i in range(8)] + [(i, [-first, (i - 4) * first / 16]) for i in range(8, 12)]
+    assert run(spark, rows, 4, F.col("vec_id") % 3 == 0) == brute(rows, 4, lambda i: i % 3 == 0)
