@@ -23,37 +23,49 @@ MAX_REPEAT_PERCENT = 50
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
+    return F.array_remove(_parts(text), "")
+
+
+def _parts(text: Column) -> Column:
+    """What lies between white-space signs, empty parts included."""
+    return F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]", -1)
+
+
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def repeated_words(found: Column) -> Column:
     """Words that lie in a 3-word window found twice or more in the array.
 
-    Windows are sorted by hash, so equal ones are neighbours; each start of a repeated window covers the
-    words up to the next start, three at most.
+    Every word is hashed once, a window is the hash of three of those. Only where windows repeat are they sorted by hash, with their
+    places: equal ones are neighbours. Each start of a repeated window covers the words up to the next start, three at most.
+    Two different windows of a text are taken for equal with a chance of 2^-64.
     """
-    windows = F.transform(
-        F.sequence(F.lit(0), F.size(found) - 3),
-        lambda i: F.struct(F.xxhash64(F.get(found, i), F.get(found, i + 1), F.get(found, i + 2)).alias("h"), i.alias("i")),
-    )
+    hashed = F.transform(found, lambda word: F.xxhash64(word))
+
+    def windows(h):
+        return F.transform(F.sequence(F.lit(0), F.size(h) - 3), lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2)))
+
+    def beside(values):
+        """Structs of fields 0, 1 and 2: value, next value, value before."""
+        none = F.array(F.lit(None).cast("long"))
+        return F.arrays_zip(F.concat(values), F.concat(F.slice(values, F.lit(2), F.size(values)), none), F.slice(F.concat(none, values), F.lit(1), F.size(values)))
 
     def starts(ordered):
-        same = lambda w, j: (F.get(ordered, j - 1)["h"] == w["h"]) | (F.get(ordered, j + 1)["h"] == w["h"])
-        return F.sort_array(F.transform(F.filter(ordered, lambda w, j: F.coalesce(same(w, j), F.lit(False))), lambda w: w["i"]))
+        marked = F.arrays_zip(beside(ordered["0"]), ordered["1"])
+        return F.sort_array(F.filter(marked, lambda w: F.coalesce(w["0"]["0"] == w["0"]["1"], F.lit(False)) | F.coalesce(w["0"]["0"] == w["0"]["2"], F.lit(False)))["1"])
 
     def covered(places):
-        return F.aggregate(
-            places,
-            F.struct(F.lit(0).alias("n"), F.lit(-3).alias("end")),
-            lambda acc, i: F.struct((acc["n"] + F.least(F.lit(3), i + 3 - acc["end"])).alias("n"), (i + 3).alias("end")),
-            lambda acc: acc["n"],
-        )
+        return F.aggregate(beside(places), F.lit(0).cast("long"), lambda n, i: n + F.least(F.lit(3).cast("long"), i["1"] - i["0"]))
 
-    def all_of(ordered):
-        return covered(starts(ordered))
+    def counted(w):
+        places = F.sequence(F.lit(0).cast("long"), F.size(w) - F.lit(1).cast("long"))
+        ordered = F.sort_array(F.arrays_zip(F.concat(w), places))
+        return F.when(F.size(F.array_distinct(w)) == F.size(w), 0).otherwise(_once(_once(ordered, starts), covered))
 
-    bound = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731  computes value once
-    return F.when(F.size(found) < 4, 0).otherwise(bound(F.array_sort(windows), all_of)).cast("long")
+    return F.when(F.size(found) < 4, 0).otherwise(_once(_once(hashed, windows), counted)).cast("long")
 
 
 def with_rules(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -63,28 +75,28 @@ def with_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     lines = F.filter(F.split(whole, "\n", -1), lambda line: line.rlike(WORD))
-    counted = docs.withColumn("__words", words(F.col(f"`{text}`"))).withColumn("__lines", lines)
+    split = docs.withColumn("__split", _parts(whole)).withColumn("__lines", lines)
+    counted = split.withColumn("__words", F.array_remove("__split", ""))
     counted = counted.withColumns(
         {
             "n_words": F.size("__words").cast("long"),
-            "word_chars": F.length(F.regexp_replace(whole, r"[\x20\x09-\x0D]+", "")).cast("long"),
-            "n_symbols": (F.length(whole) - F.length(F.translate(whole, SYMBOLS, ""))).cast("long"),
+            # All characters but the signs between the split parts.
+            "word_chars": (F.length(whole) - F.size("__split") + 1).cast("long"),
+            "n_symbols": F.length(F.regexp_replace(whole, f"[^{SYMBOLS}]+", "")).cast("long"),
             "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
             "n_repeat_words": repeated_words(F.col("__words")),
         }
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return counted.withColumn("base_failed", failed).drop("__words", "__lines")
+    return counted.withColumn("base_failed", failed).drop("__words", "__lines", "__split")
 
 
 def grams(text: Column, buckets: int) -> Column:
     """Buckets of a text's tokens and of each token with its successor, the text's end counting as a token."""
     tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
-    one = lambda tokens: F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(buckets)).cast("int"))
-    two = lambda tokens: F.transform(
-        tokens, lambda t, i: F.pmod(F.xxhash64(t, F.coalesce(F.get(tokens, i + 1), F.lit("\n"))), F.lit(buckets)).cast("int")
-    )
-    return F.get(F.transform(F.array(tokens), lambda found: F.concat(one(found), two(found))), F.lit(0))
+    bucket = lambda gram: F.pmod(F.xxhash64(gram), F.lit(buckets)).cast("int")
+    pairs = lambda tokens: F.arrays_zip(tokens, F.slice(F.concat(tokens, F.array(F.lit("\n"))), F.lit(2), F.size(tokens)))
+    return _once(tokens, lambda found: F.concat(F.transform(found, bucket), F.transform(pairs(found), bucket)))
 
 
 def _counts(texts: DataFrame, text: str, buckets: int) -> dict[int, int]:
