@@ -35,11 +35,15 @@ class Container:
             keys, counts, slot = keys[~mine], counts[~mine], (slot[~mine] + 1) & int(mask)
 
     def entries(self) -> tuple[np.ndarray, np.ndarray]:
-        """Keys in ascending order and their counts."""
+        """Keys, in no order, and their counts."""
         full = np.flatnonzero(self.keys)
-        full = full[np.argsort(self.keys[full])]
         return self.keys[full], self.counts[full]
 
+    def in_order(self) -> tuple[np.ndarray, np.ndarray]:
+        keys, counts = self.entries()
+        order = np.argsort(keys)
+        return keys[order], counts[order]
+
 
 class HatTrie:
     """Counts sequences of 1 to ``longest`` word ids; ids are from 1 to ``max_id``.
@@ -85,7 +89,7 @@ class HatTrie:
     def _burst(self, i: int) -> None:
         if self.containers[i].used <= self.burst:
             return
-        keys, counts = self.containers[i].entries()
+        keys, counts = self.containers[i].in_order()
         depth = next(d for d in range(self.longest) if keys[0] >> self.shift(d) != keys[-1] >> self.shift(d))
         subtrees = keys >> self.shift(depth)
         middle = subtrees[len(keys) // 2]
@@ -99,7 +103,7 @@ class HatTrie:
         self._burst(i)
 
     def spill(self, keep: int) -> tuple[np.ndarray, np.ndarray]:
-        """Remove the subtrees of whole containers, fullest first, until at most ``keep`` sequences are left; their sequences and counts in order."""
+        """Remove the subtrees of whole containers, fullest first, until at most ``keep`` sequences are left; their sequences, in no order, and counts."""
         left, gone = len(self), []
         for i in sorted(range(len(self.containers)), key=lambda i: -self.containers[i].used):
             if left <= keep:

