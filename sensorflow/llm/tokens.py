@@ -13,7 +13,34 @@ LETTERS = "A-Za-zÀ-ÖØ-öø-įĲ-ɏΑ-ΡΣ-Ωα-ωЀ-ҁҊ-ԯぁ-ゖァ-ヺ一-
 PLAIN = re.compile(rf"[0-9{LETTERS}!-/:-@\[-`{{-~ \n]*")
 ADJACENT = ("  ", " \n", "\n ", "\n\n")
 PIECE = re.compile(r" ?(?:[^\w \n]|_)*[^\W_]*|\n")
-MAX_CACHED = 1_000_000
+# One of these between plain pieces is a token of its own in the given files, so that many pieces are encoded in one call.
+MARKS = ("\n", " \x01 ")
+SAMPLES = ["word", " word", ",", " ;x", "9", " -", "_"]
+MAX_PIECES = 500_000
+
+
+class Generations:
+    """Values that were used lately: when the young ones are ``most``, they become the old ones; what is used again is young again."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def ready(self) -> dict:
+        """The young ones; they stay so until the next call."""
+        if len(self.young) >= self.most:
+            self.young, self.old = {}, self.young
+        return self.young
+
+    def unknown(self, keys: set) -> list:
+        """Those of ``keys``, none of them young, that are not old; the others become young."""
+        new = []
+        for key in keys:
+            value = self.old.get(key)
+            if value is None:
+                new.append(key)
+            else:
+                self.young[key] = value
+        return new
 
 
 class Encoder:
@@ -21,8 +48,8 @@ class Encoder:
 
     Texts of letters, digits, ASCII punctuation and single spaces or line ends are cut before spaces, around line ends
     and between a letter or digit and punctuation; other texts only before a single space between two
-    other characters. So the ids of the pieces put together are the ids of the text. Pieces repeat: each distinct one is
-    encoded once and kept for all tasks of the worker, at most MAX_CACHED (about 200 MB) at a time. Special tokens written in a text are ordinary text.
+    other characters. So the ids of the pieces put together are the ids of the text. Pieces repeat: each is encoded once, many in one call, and
+    kept for all tasks of the worker while it is used, in two generations of at most MAX_PIECES and one text's (about 200 MB). Special tokens written in a text are ordinary text.
     """
 
     def __init__(self, path: str, dtype: str = "<u4"):
@@ -35,17 +62,41 @@ class Encoder:
         self.array, self.dtype = np.array, np.dtype(dtype)
         if self.tokenizer.get_vocab_size() > 2 ** (8 * self.dtype.itemsize):
             raise ValueError(f"{dtype} is too small for {self.tokenizer.get_vocab_size()} ids")
-        self.cache: dict[str, bytes] = worker_memo().setdefault(("ids", path, dtype), {})
-
-    def _learn(self, pieces: list[str]) -> None:
-        unknown = list({piece for piece in pieces if piece not in self.cache})
-        if len(self.cache) + len(unknown) > MAX_CACHED:
-            self.cache.clear()
-            unknown = list(set(pieces))
-        for first in range(0, len(unknown), 1000):
-            block = unknown[first : first + 1000]
-            for piece, found in zip(block, self.tokenizer.encode_batch_fast(block, add_special_tokens=False)):
-                self.cache[piece] = self.array(found.ids, self.dtype).tobytes()
+        self.mark = next((mark for mark in MARKS if self._cuts(mark)), None)
+        self._mark_id = self._encoded([self.mark])[0][0] if self.mark else None
+        self.pieces = worker_memo().setdefault(("ids", path, dtype), Generations(MAX_PIECES))
+
+    def _encoded(self, texts: list[str]) -> list:
+        return [self.array(found.ids, self.dtype) for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _cuts(self, mark: str) -> bool:
+        """Whether ``mark`` has one id and texts on both sides of it have their own ids."""
+        alone = self._encoded([mark])[0]
+        joined, apart = self._encoded([mark.join(SAMPLES)])[0].tolist(), [ids.tolist() for ids in self._encoded(SAMPLES)]
+        return len(alone) == 1 and joined == [i for part in apart for i in [*part, int(alone[0])]][:-1]
+
+    def _pieces_encoded(self, pieces: list[str]) -> dict[str, bytes]:
+        plain = [piece for piece in pieces if self.mark and piece and piece != "\n" and PLAIN.fullmatch(piece)]
+        other, out = set(pieces).difference(plain), {}
+        for first in range(0, len(plain), 100):
+            block = plain[first : first + 100]
+            ids = self._encoded([self.mark.join(block)])[0]
+            marks = (ids == self._mark_id).nonzero()[0]
+            if len(marks) != len(block) - 1:
+                other.update(block)
+                continue
+            raw, width = ids.tobytes(), self.dtype.itemsize
+            for piece, begin, end in zip(block, [0, *((marks + 1) * width).tolist()], [*(marks * width).tolist(), len(raw)]):
+                out[piece] = raw[begin:end]
+        out.update((piece, ids.tobytes()) for piece, ids in zip(other, self._encoded(list(other))))
+        return out
+
+    def _learned(self, pieces: list[str]) -> dict[str, bytes]:
+        young = self.pieces.ready()
+        missing = {piece for piece in pieces if piece not in young}
+        if missing:
+            young.update(self._pieces_encoded(self.pieces.unknown(missing)))
+        return young
 
     def ids(self, text: str | None) -> bytes:
         """The ids of a text as bytes of ``dtype``; none for a null or empty text."""
@@ -55,8 +106,5 @@ class Encoder:
             pieces = PIECE.findall(text)
         else:
             pieces = ANYWHERE.split(text)
-        try:
-            return b"".join([self.cache[piece] for piece in pieces])
-        except KeyError:
-            self._learn(pieces)
-            return b"".join([self.cache[piece] for piece in pieces])
+        known = self._learned(pieces)
+        return b"".join([known[piece] for piece in pieces])

@@ -22,7 +22,7 @@ def plain(name):
 
 @pytest.mark.parametrize("name", FILES)
 def test_pieces_give_the_ids_of_the_whole_text(name, given, monkeypatch):
-    monkeypatch.setattr(tokens, "MAX_CACHED", 200)
+    monkeypatch.setattr(tokens, "MAX_PIECES", 100)
     rng, encoder, whole = random.Random(4), tokens.Encoder(public_tokenizers.path(name)), plain(name)
     texts = ["".join(rng.choice(PARTS) for _ in range(rng.randrange(30))) for _ in range(3_000)] + [text for (text,) in given("SELECT text FROM documents LIMIT 60")]
     for text in texts:
