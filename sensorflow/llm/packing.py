@@ -1,6 +1,6 @@
 """Best-fit packing of documents into sequences of bounded length, with certified repacking.
 
-Documents longer than a sequence are cut into full pieces and a rest. Full pieces are sequences of their own;
+Documents longer than a sequence are cut into full pieces, of which only the first may be shorter. Full pieces are sequences of their own;
 the others are dealt to partitions, each packed best-fit decreasing. Dual feasible functions bound each partition's bins
 from below. Partitions above their bound give all their documents to a pool, certified ones those of their
 emptiest bin; the pool is dealt anew to fewer partitions and packed again while that saves bins.
@@ -89,8 +89,9 @@ def pieces(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_
             out = {name: [] for name in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
             for known, whole in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = encoder.ids(whole.as_py()) + tail
-                for piece, first in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[first : first + 4 * capacity]
+                limits = list(range(len(ids), 0, -4 * capacity))[::-1]  # full pieces from the end on, so the first may be shorter
+                for piece, (first, last) in enumerate(zip([0, *limits], limits)):
+                    part = ids[first:last]
                     values = (known, piece, first // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None)
                     for name, value in zip(out, values):
                         out[name].append(value)

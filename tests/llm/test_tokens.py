@@ -72,8 +72,10 @@ def check_packing(rows, texts, capacity=packing.CAPACITY):
         for other, text in texts:
             if other == key:
                 whole = [*ids(text), END_ID]
-                cut = [whole[i : i + capacity] for i in range(0, len(whole), capacity)]
-                wanted += [(i * capacity, i, len(part), zlib.crc32(np.array(part, "<u4").tobytes())) for i, part in enumerate(cut)]
+                short = len(whole) % capacity  # only the first piece may be shorter
+                starts = [0] * (short > 0) + list(range(short, len(whole), capacity))
+                cut = [(a, whole[a:b]) for a, b in zip(starts, [*starts[1:], len(whole)])]
+                wanted += [(a, i, len(part), zlib.crc32(np.array(part, "<u4").tobytes())) for i, (a, part) in enumerate(cut)]
         assert sorted(pieces[key]) == sorted(wanted)
     for places in sequences.values():
         at = 0
