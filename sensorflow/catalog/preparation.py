@@ -59,7 +59,7 @@ def rescued_lines(spark, sf_dir):
     line = F.when(broken == "short", F.concat_ws(" ", *fields[:-1])).when(broken == "long", F.concat_ws(" ", *fields, F.lit("1"))).otherwise(F.concat_ws(" ", *typed))
     folder = shared_folder(spark, "broken_text")
     samples.select("subject", line.alias("value")).write.partitionBy("subject").text(f"{folder}/text")
-    rows = ingest_subject_files(spark, f"{folder}/text", f"{folder}/rows", subject_pattern=r"/subject=([^/]+)/", file_glob="*.txt")
+    rows = ingest_subject_files(spark, f"{folder}/text", f"{folder}/rows", subject_pattern=r"/subject=([^/]+)/", file_glob="*.txt", rescue=True)
     return cleaning_counts(rows, [FILE_OFFSET, LINE_ORDER]).select("subject", "all_rows", "transient_rows", "kept_rows", "bad_lines")
 
 

@@ -212,6 +212,6 @@ def overwritten(df: DataFrame, path: str) -> DataFrame:
 def run_files(spark: SparkSession, path: str | list[str], folder: str | None = None, **options) -> RunResult:
     """Run over subjects' text files: they are parsed once into a stored table first."""
     folder = folder or shared_folder(spark, "run")
-    ingest = lambda parsed: ingest_subject_files(spark, path, parsed, mode="overwrite")
+    ingest = lambda parsed: ingest_subject_files(spark, path, parsed, mode="overwrite", rescue=True)
     samples = stage(spark, folder, "samples", ingest, lambda parsed: read_by_subject(spark, parsed))
     return run(samples, [FILE_OFFSET, LINE_ORDER], folder=folder, **options)

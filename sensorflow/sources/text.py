@@ -69,8 +69,8 @@ def with_line_order(df: DataFrame) -> DataFrame:
 
 
 def ingest_subject_files(spark: SparkSession, path: str | list[str], target: str, mode: str = "error", **options) -> DataFrame:
-    """Parse the text once into a Parquet table by subject, rows numbered in file order; bad lines are rescued unless told otherwise."""
-    return write_by_subject(with_line_order(read_subject_files(spark, path, **{"rescue": True, **options})), target, mode=mode)
+    """Parse the text once into a Parquet table by subject, rows numbered in file order."""
+    return write_by_subject(with_line_order(read_subject_files(spark, path, **options)), target, mode=mode)
 
 
 def list_files(spark: SparkSession, path: str | list[str], file_glob: str = "*.dat") -> DataFrame:

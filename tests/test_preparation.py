@@ -256,7 +256,7 @@ def test_subject_names_survive_paths(spark, tmp_path):
 
 
 def test_bad_lines_are_rescued_and_counted(spark, recordings, tmp_path):
-    samples = ingest_subject_files(spark, recordings, str(tmp_path / "rows"))
+    samples = ingest_subject_files(spark, recordings, str(tmp_path / "rows"), rescue=True)
     bad = {r.timestamp: r.bad_line for r in samples.filter("bad_line IS NOT NULL").collect()}
     assert sorted(bad) == [0.05, 0.07, 0.08, 0.09] and bad[0.09] == line(0.09, 16, "oops")
     tiebreak = ["file_offset", "line_order"]
