@@ -1,13 +1,15 @@
-"""Secret scans: fixed patterns, and compression novelty of values in sensitive contexts.
+"""Secret scans: fixed patterns, and compression novelty of tokens in sensitive contexts.
 
-A run of at least LEAST characters next to a name with a sensitive word is a candidate. Its novelty is how many bytes it adds to a zstandard frame that
-already holds the text around it without copies of the value, primed with a dictionary of identifiers, per character of the value. Words and
-identifiers add little; random keys do not compress, however often they stand nearby.
+Tokens within WINDOW characters after a name with a sensitive word are candidates. A token's novelty is how many bytes it adds to a zstandard frame that
+already holds the text around it without copies of the token, primed with a dictionary of identifiers, per character of the token. Words and identifiers
+add little; random keys do not compress, however often they stand nearby.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -25,17 +27,18 @@ PATTERNS = (
 )
 KINDS = ("assign", "access", "hex", "novel")
 
-LEAST = 8
+LEAST = 8  # characters of a token right after the name and a separator
+FAR_LEAST = 16  # and of any other token in the window
+WINDOW = 64
 SENSITIVE = re.compile(
-    r"password|passwd|passphrase|secret|token|api[_\-\x20]?key|private[_\-\x20]?key|access[_\-\x20]?key|auth|bearer|credential|signature|cookie|session",
-    re.IGNORECASE | re.ASCII,
-)
-NAME_REST = re.compile(r"[A-Za-z0-9_-]*+")
-VALUE = re.compile(
-    r"(?:\\?[\"'])?(?:[\x20\t]*+[:=]{1,2}>?[\x20\t]*+|[\x20\t]++(?:is[\x20\t]++)?)(?:\\?[\"'])?"
-    rf"([A-Za-z0-9+/_=.-]{{{LEAST - 1},}}[A-Za-z0-9+/_=-])",
+    r"password|passwd|(?<![a-z])pwd(?![a-z])|passphrase|secret|token|api[_\-\x20]?key|private[_\-\x20]?key|access[_\-\x20]?key|auth|bearer|credential|signature|cookie|session"
+    r"|://[^\s/:@]{0,64}:(?=[^\s/@]{1,256}@)",
     re.IGNORECASE | re.ASCII,
 )
+NAME_REST = re.compile(r"[A-Za-z0-9_./+-]*+")
+SEPARATOR = re.compile(r"(?:\\?[\"'])?(?:[\x20\t]*+[:=]{1,2}>?[\x20\t]*+|[\x20\t]++(?:is[\x20\t]++)?)(?:\\?[\"'])?|", re.IGNORECASE | re.ASCII)
+LINE_BREAKS = ("\n", "\r\n")
+TOKEN = re.compile(r"[A-Za-z0-9+/_][A-Za-z0-9+/_-]*+(?:\.++[A-Za-z0-9+/_-]++)*+={0,2}")
 IDENTIFIERS = (
     "abstract", "access", "account", "address", "admin", "allocate", "application", "argument", "array", "assert", "async", "attribute", "authentication", "authorization",
     "await", "backend", "basic", "bearer", "boolean", "bucket", "buffer", "cache", "callback", "catch", "certificate", "changeme", "character", "class",
@@ -53,7 +56,8 @@ IDENTIFIERS = (
 )
 AROUND = 256
 TAIL = " " * 16  # zstandard looks for no match in the last 8 bytes
-NOVELTY = 0.6
+NOVELTY = 0.6  # of a token right after the name
+FAR_NOVELTY = 0.75  # least, of any other token in the window
 REPLACEMENT = "<secret>"
 
 
@@ -79,29 +83,40 @@ def context(text: str, begin: int, end: int) -> str:
 
 
 def novel(text: str, known: list[tuple[int, int]], novelty: Novelty, threshold: float = NOVELTY):
-    """start and end of novel values that no span of ``known`` holds. Of a value that is not novel as a whole, its parts between dots are tried."""
-    at = 0
-    while m := SENSITIVE.search(text, at):
-        at = NAME_REST.match(text, m.end()).end()
-        value = VALUE.match(text, at)
-        if not value:
-            continue
-        begin = value.start(1)
-        parts = [(begin + p.start(), begin + p.end()) for p in re.finditer(r"[^.]+", value[1]) if len(p[0]) >= LEAST]
-        for tried in ([value.span(1)], parts):
-            tried = [(a, b) for a, b in tried if not any(x <= a and b <= y for x, y in known)]
-            found = [(a, b) for a, b in tried if novelty.of(text[a:b], context(text, a, b)) >= threshold]
-            if found:
-                yield from found
-                at = value.end(1)
+    """start and end of novel tokens that no span of ``known`` holds. Of a token that is not novel as a whole, its parts between dots are tried.
+
+    A token belongs to the last name before it and is measured once; one on the line after a novel one, as in a block of a key, counts as next to the name. The time is linear in the text.
+    """
+    known = sorted(known)
+    starts, ends = [a for a, _ in known], list(accumulate((b for _, b in known), max))
+    held = lambda a, b: (i := bisect_right(starts, a)) > 0 and ends[i - 1] >= b
+    measured, last, name = 0, 0, SENSITIVE.search(text)
+    while name:
+        at = name.end() if name[0].endswith(":") else NAME_REST.match(text, name.end()).end()
+        limit, name = at + WINDOW, SENSITIVE.search(text, at)
+        for token in TOKEN.finditer(text, max(at, measured)):
+            begin, end = token.span()
+            if begin >= limit or name and begin >= name.start():
                 break
+            near = SEPARATOR.fullmatch(text, at, begin) or (last and begin <= last + 2 and text[last:begin] in LINE_BREAKS)
+            least, wanted = (LEAST, threshold) if near else (FAR_LEAST, max(threshold, FAR_NOVELTY))
+            if end - begin < least:
+                continue
+            measured = end
+            parts = [(begin + p.start(), begin + p.end()) for p in re.finditer(r"[^.]+", token[0]) if len(p[0]) >= least]
+            for tried in ([(begin, end)], parts):
+                found = [(a, b) for a, b in tried if not held(a, b) and novelty.of(text[a:b], context(text, a, b)) >= wanted]
+                if found:
+                    yield from found
+                    last, limit = end, max(limit, end + 3)
+                    break
 
 
 def spans(text: str, novelty: Novelty, threshold: float = NOVELTY) -> list[tuple[str, int, int]]:
     """kind, start and end (code points, end exclusive), by start, then kind as in KINDS.
 
     Pattern spans are leftmost and non-overlapping per kind. A value whose novelty is at least ``threshold`` is a further
-    span of kind novel unless a pattern span holds it.
+    span of kind novel unless a pattern span holds it; one that does not follow the name directly needs FAR_NOVELTY at least.
     """
     found = [(kind, m.start(), m.end()) for kind, pattern, group, least in PATTERNS for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least]
     known = [(a, b) for _, a, b in found]
