@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SHORT_HEX = 8
-MAX_SHAPES = 10_000
+LENGTHS_PER_ROW = 1_000
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -49,28 +49,28 @@ def judge(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "a
     longer host; a URL that no rule fits gets ``default``.
 
     Every URL is expanded only into host suffixes and path prefixes of shapes that some rule has: number
-    of host labels and length of path. This leaves out no match, and long paths need no cap.
+    of host labels and, for that number, length of path. This leaves out no match, and neither long paths nor rule lists
+    need a cap. The shapes are a small table that is broadcast: n different lengths of one number of labels
+    take n^2 / 2 characters of rules, so it grows with the square root of the rules.
     Each distinct URL is judged once. Null URLs have an empty host and path and get ``default``.
     Columns named host, path, rule or verdict in ``urls`` are replaced.
     """
     rules = _digested(rules)
-    shapes = rules.select("labels", "path_length").distinct().limit(MAX_SHAPES + 1).collect()
-    if len(shapes) > MAX_SHAPES:
-        raise ValueError(f"rules have more than {MAX_SHAPES} combinations of host labels and path length")
+    counts = ",".join(str(row.labels) for row in rules.select("labels").distinct().collect())
+    shapes = rules.groupBy(F.col("labels").alias("__for"), F.expr(f"path_length div {LENGTHS_PER_ROW}")).agg(F.collect_set("path_length").alias("__lengths")).select("__for", "__lengths")
     host, path = host_and_path(F.col(f"`{url}`"))
     distinct = urls.select(F.col(f"`{url}`").alias("__url")).filter(F.col("__url").isNotNull()).distinct()
-    wanted = F.expr("filter(__shapes, s -> s.labels <= size(__labels) and s.path_length <= length(__path))")
-    pairs = ",".join(f"named_struct('labels',{s.labels},'path_length',{s.path_length})" for s in shapes)
-    shape_list = F.expr(f"array({pairs})") if shapes else F.expr("cast(array() as array<struct<labels:int,path_length:int>>)")
     d_host, d_path = host_and_path(F.col("__url"))
     expanded = (
-        distinct.withColumns({"__host": d_host, "__path": d_path, "__shapes": shape_list})
-        .withColumn("__labels", F.split("__host", r"\."))
-        .withColumn("__shape", F.explode(wanted))
+        distinct.withColumns({"__host": d_host, "__path": d_path})
+        .withColumns({"__labels": F.split("__host", r"\."), "__size": F.length("__path")})
+        .withColumn("__count", F.explode(F.expr(f"filter(cast(array({counts}) AS array<int>), n -> n <= size(__labels))")))
+        .join(F.broadcast(shapes), F.col("__count") == F.col("__for"))
+        .withColumn("__length", F.explode(F.expr("filter(__lengths, n -> n <= __size)")))
         .select(
             "__url",
-            F.expr("array_join(slice(__labels, -__shape.labels, __shape.labels), '.')").alias("suffix"),
-            F.expr("substring(__path, 1, __shape.path_length)").alias("prefix"),
+            F.expr("array_join(slice(__labels, -__count, __count), '.')").alias("suffix"),
+            F.expr("substring(__path, 1, __length)").alias("prefix"),
         )
         .withColumn("digest", F.sha2(F.concat_ws("\n", "suffix", "prefix"), 256))
         .withColumn("short", F.substring("digest", 1, SHORT_HEX))

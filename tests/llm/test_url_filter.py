@@ -1,4 +1,3 @@
-import pytest
 from pyspark.sql import functions as F
 
 from sensorflow.llm import url_filter
@@ -37,8 +36,17 @@ def test_empty_tables(spark):
     assert url_filter.judge(pages.limit(0), rules).count() == 0
 
 
-@pytest.mark.parametrize("count", [url_filter.MAX_SHAPES + 1])
-def test_too_many_rule_shapes_are_refused(spark, count):
-    rules = spark.range(count).selectExpr("'h' AS host", "repeat('a', cast(id AS int)) AS path", "'block' AS verdict")
-    with pytest.raises(ValueError):
-        url_filter.judge(spark.createDataFrame([("http://h/",)], "url string"), rules)
+def test_many_rule_shapes(spark):
+    """20,000 shapes: paths of 0 to 9,999 characters on hosts of one and of two labels."""
+    rules = spark.range(10_000).selectExpr("repeat('a', cast(id AS int)) AS path", "if(id % 3 = 0, 'allow', 'block') AS verdict")
+    rules = rules.selectExpr("'h' AS host", "path", "verdict").unionByName(rules.selectExpr("'g.i' AS host", "path", "verdict"))
+    slashed = rules.selectExpr("host", "concat('/', path) AS path", "verdict")
+    lengths = (0, 1, 49, 9_999, 12_000)
+    pages = [(f"http://{host}/{'a' * n}", n, host) for host in ("h", "x.h", "g.i", "i", "y.g.i") for n in lengths]
+    found = url_filter.judge(spark.createDataFrame(pages, "url string, n int, at string"), slashed).collect()
+    assert len(found) == len(pages)
+    for r in found:
+        longest = min(r.n, 9_999)
+        rule = {"h": "h", "x.h": "h", "g.i": "g.i", "y.g.i": "g.i"}.get(r.at)
+        assert r.rule == (None if rule is None else f"{rule}/{'a' * longest}")
+        assert r.verdict == ("allow" if rule is None or longest % 3 == 0 else "block")
