@@ -207,8 +207,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, key: str
     return out.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents whose key is kept, with their own columns; rows with a null key stay."""
-    found = near_duplicates(docs, key=key, text=text, **options)
-    gone = found.filter(~F.col("kept") & F.col(key).isNotNull()).select(F.col(key).alias("__gone")).distinct()
-    return docs.join(gone, docs[key] == F.col("__gone"), "left_anti")
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", folder: str | None = None, **options) -> DataFrame:
+    """One row of each group of near duplicates, with its own columns: the one with the smallest key, null keys last, of those the first of the stored input.
+
+    Every row is compared, so of rows that repeat a key or have none only near copies go. Rows with null, empty and blank texts all stay.
+    """
+    folder = folder or work_folder(docs.sparkSession, "keep")
+    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), f"{folder}/rows")
+    found = near_duplicates(rows, key="__row", text=text, folder=f"{folder}/near", **options).select("__row", "component_id")
+    ordered = found.join(rows.select("__row", F.col(f"`{key}`").alias("__key")), "__row").withColumn("__place", F.struct(F.col("__key").isNull(), "__key", "__row"))
+    first = ordered.groupBy("component_id").agg(F.min("__place").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    grouped = ordered.join(first.select(F.col("component_id").alias("c"), F.col("first.__row").alias("__first")), F.col("component_id") == F.col("c"))
+    gone = grouped.filter("__row <> __first").select(F.col("__row").alias("__gone"))
+    return rows.join(gone, F.col("__row") == F.col("__gone"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

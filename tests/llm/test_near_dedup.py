@@ -75,7 +75,17 @@ def test_odd_rows(odd, clashing, none):
     assert near_dedup.near_duplicates(none).count() == 0
     kept = near_dedup.keep_one(clashing)
     assert kept.columns == clashing.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "4", "5", "6", "7", "9", "None", "None", *(["11"] if brute(rows, 5, 80)[11][1] == 11 else [])])
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "4", "5", "6", "7", "9", "None", *(["11"] if brute(rows, 5, 80)[11][1] == 11 else [])])
+
+
+def test_keep_one_compares_every_row(spark):
+    """Equal and null ids: one row of each group stays, the smallest id if one is there; one id with two texts keeps both."""
+    first, second, third = (" ".join(f"{name}{i}" for i in range(40)) for name in "abc")
+    rows = [(1, first), (1, first), (None, first), (None, second), (None, second), (5, third), (5, first), (5, second), (None, None), (None, None), (6, ""), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = near_dedup.keep_one(docs).collect()
+    wanted = [(1, first), (5, second), (5, third), (None, None), (None, None), (6, ""), (6, "")]
+    assert sorted(map(str, [tuple(r) for r in kept])) == sorted(map(str, wanted))
 
 
 @pytest.mark.parametrize("width", [1, 3])
