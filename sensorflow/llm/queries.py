@@ -20,8 +20,12 @@ def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = source(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"))
-    return sharding.shard(docs, F.col("doc_id"), F.col("n_bytes"), SHARD_BYTES)
+    docs, size = source(spark, sf_dir, "documents").select("doc_id", "text"), F.octet_length("text").cast("long")
+    folder = work_folder(spark, "shards")
+    dealt = sharding.shard(docs, F.col("doc_id"), size, SHARD_BYTES, store=False)
+    sharding.write_shards(dealt, folder)
+    files = sharding.read_shards(dealt, folder, size)
+    return files.select("doc_id", F.col("row_bytes").alias("n_bytes"), "shard", "shard_bytes", "shard_rows", "shard_depth")
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

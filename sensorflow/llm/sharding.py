@@ -51,7 +51,7 @@ def split_bucket(cells: pd.DataFrame, limit: int) -> pd.DataFrame:
     return pd.concat(out)
 
 
-def shard(rows: DataFrame, key: Column, size: Column, limit: int, folder: str | None = None) -> DataFrame:
+def shard(rows: DataFrame, key: Column, size: Column, limit: int, folder: str | None = None, store: bool = True) -> DataFrame:
     """Give every row its shard.
 
     Adds ``shard_bytes``, ``shard_rows``, ``shard_depth`` (bits) and ``shard`` (``b`` and
@@ -59,6 +59,9 @@ def shard(rows: DataFrame, key: Column, size: Column, limit: int, folder: str |
     they exceed the limit: then bits of the whole row's hash follow, and for identical rows
     bits of the row's position in the stored input. A single row above the limit is a shard of its own.
 
+    The rows are stored first, so that every pass sees the same positions; ``store=False`` saves this for rows read
+    straight from files.
+
     Null keys count as an empty text, null or negative sizes as 0. Identical rows are separate rows.
     Input columns keep their names; names that this function adds replace input columns of that name.
     """
@@ -73,7 +76,8 @@ def shard(rows: DataFrame, key: Column, size: Column, limit: int, folder: str |
         hash_bits(F.monotonically_increasing_id()).alias("__w2"),
         F.lit("").alias("__path"),
     )
-    current = stored(current, f"{folder}/rows")
+    if store:
+        current = stored(current, f"{folder}/rows")
 
     done, level = [], 0
     levels = WORDS * WORD_BITS // CELL_BITS
@@ -117,3 +121,11 @@ def shard(rows: DataFrame, key: Column, size: Column, limit: int, folder: str |
 def write_shards(rows: DataFrame, path: str) -> None:
     """One directory per shard, from the output of ``shard``. A shard fits the limit, so one task writes it."""
     rows.repartition("shard").write.partitionBy("shard").parquet(path)
+
+
+def read_shards(rows: DataFrame, path: str, size: Column) -> DataFrame:
+    """What ``write_shards`` wrote of ``rows``: ``row_bytes`` (``size`` of the row read), and ``shard_bytes``, ``shard_rows`` and ``shard_depth`` counted anew."""
+    files = rows.sparkSession.read.schema(rows.schema).parquet(path).drop("shard_bytes", "shard_rows", "shard_depth").withColumn("row_bytes", size.cast("long"))
+    total = F.sum(F.greatest(F.coalesce("row_bytes", F.lit(0)), F.lit(0)))
+    sizes = files.groupBy(F.col("shard").alias("__of")).agg(total.alias("shard_bytes"), F.count("*").alias("shard_rows"))
+    return files.join(sizes, F.col("shard") == F.col("__of")).drop("__of").withColumn("shard_depth", F.length("shard") - 1)

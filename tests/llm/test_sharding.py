@@ -4,7 +4,8 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from sensorflow.llm.sharding import shard, write_shards
+from sensorflow.llm import queries
+from sensorflow.llm.sharding import read_shards, shard, write_shards
 
 
 def path_bits(key):
@@ -54,3 +55,23 @@ def test_odd_rows(odd, clashing, none, tmp_path):
     write_shards(shard(odd, F.col("doc_id"), F.octet_length("text"), 2_000), f"file://{tmp_path}/out")
     back = odd.sparkSession.read.parquet(f"file://{tmp_path}/out")
     assert sorted(map(str, back.select(*odd.columns).collect())) == sorted(map(str, odd.collect()))
+
+
+def test_the_query_reads_shards_within_the_limit_from_files(spark, sf_dir, given, monkeypatch, tmp_path):
+    monkeypatch.setattr(queries, "SHARD_BYTES", 20_000)
+    monkeypatch.setattr(queries, "work_folder", lambda spark, name: f"file://{tmp_path}/{name}")
+    found = {r.doc_id: r for r in queries.QUERIES["op1_extendible_sharding"](spark, sf_dir).collect()}
+    texts = dict(given("SELECT doc_id, text FROM documents"))
+    wanted = split([(path_bits(i), len((text or "").encode())) for i, text in texts.items()], 20_000)
+    assert {i: r.shard for i, r in found.items()} == {i: wanted[path_bits(i)] for i in texts}
+    written = spark.read.parquet(f"file://{tmp_path}/shards").groupBy("shard").agg(F.sum(F.octet_length("text")).alias("n"), F.count("*").alias("rows")).collect()
+    assert {r.shard: (r.n or 0, r.rows) for r in written} == {r.shard: (r.shard_bytes, r.shard_rows) for r in found.values()}
+    assert len(written) > 5 and all(r.n <= 20_000 or r.rows == 1 for r in written)
+    assert {i: r.text for r in spark.read.parquet(f"file://{tmp_path}/shards").collect() for i in [r.doc_id]} == texts
+
+
+def test_shards_of_odd_rows_are_read_back(odd, tmp_path):
+    dealt = shard(odd, F.col("doc_id"), F.octet_length("text"), 2_000)
+    write_shards(dealt, f"file://{tmp_path}/out")
+    back = read_shards(dealt, f"file://{tmp_path}/out", F.octet_length("text"))
+    assert sorted(map(str, back.select(*sorted(dealt.columns)).collect())) == sorted(map(str, dealt.select(*sorted(dealt.columns)).collect()))
