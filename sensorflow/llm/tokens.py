@@ -12,11 +12,12 @@ ANYWHERE = re.compile(r"(?<=\S)(?= \S)")
 LETTERS = "A-Za-zÀ-ÖØ-öø-įĲ-ɏΑ-ΡΣ-Ωα-ωЀ-ҁҊ-ԯぁ-ゖァ-ヺ一-鿿가-힣"
 PLAIN = re.compile(rf"[0-9{LETTERS}!-/:-@\[-`{{-~ \n]*")
 ADJACENT = ("  ", " \n", "\n ", "\n\n")
-PIECE = re.compile(r" ?(?:[^\w \n]|_)*[^\W_]*|\n")
+PIECE = re.compile(r"\n| ?(?:[^\w \n]|_)*[^\W_]*")
+CUT = "\0"  # stands in no plain text
 # One of these between plain pieces is a token of its own in the given files, so that many pieces are encoded in one call.
 MARKS = ("\n", " \x01 ")
 SAMPLES = ["word", " word", ",", " ;x", "9", " -", "_"]
-MAX_PIECES = 500_000
+MAX_PIECES = 600_000
 
 
 class Generations:
@@ -46,10 +47,10 @@ class Generations:
 class Encoder:
     """Encodes texts piece by piece, cut where the pre-tokenizers of the given files always cut.
 
-    Texts of letters, digits, ASCII punctuation and single spaces or line ends are cut before spaces, around line ends
-    and between a letter or digit and punctuation; other texts only before a single space between two
-    other characters. So the ids of the pieces put together are the ids of the text. Pieces repeat: each is encoded once, many in one call, and
-    kept for all tasks of the worker while it is used, in two generations of at most MAX_PIECES and one text's (about 200 MB). Special tokens written in a text are ordinary text.
+    Texts of letters, digits, ASCII punctuation and single spaces or line ends are cut before spaces and line ends into chunks, and new
+    chunks after line ends and between a letter or digit and punctuation into pieces; other texts only before a single space between two
+    other characters. So the ids of the pieces put together are the ids of the text. Chunks and pieces repeat: each is encoded once, many in one call, and
+    kept for all tasks of the worker while it is used, in two generations of at most MAX_PIECES and one text's (about 250 MB). Special tokens written in a text are ordinary text.
     """
 
     def __init__(self, path: str, dtype: str = "<u4"):
@@ -75,36 +76,45 @@ class Encoder:
         joined, apart = self._encoded([mark.join(SAMPLES)])[0].tolist(), [ids.tolist() for ids in self._encoded(SAMPLES)]
         return len(alone) == 1 and joined == [i for part in apart for i in [*part, int(alone[0])]][:-1]
 
-    def _pieces_encoded(self, pieces: list[str]) -> dict[str, bytes]:
-        plain = [piece for piece in pieces if self.mark and piece and piece != "\n" and PLAIN.fullmatch(piece)]
-        other, out = set(pieces).difference(plain), {}
+    def _encoded_together(self, pieces: list[str]) -> dict[str, bytes]:
+        """The ids of plain pieces, 100 pieces between marks encoded as one text."""
+        out, width = {}, self.dtype.itemsize
+        other = [piece for piece in pieces if not self.mark or not piece or piece == "\n"]
+        plain = [piece for piece in pieces if piece and piece != "\n"] if self.mark else []
         for first in range(0, len(plain), 100):
             block = plain[first : first + 100]
             ids = self._encoded([self.mark.join(block)])[0]
             marks = (ids == self._mark_id).nonzero()[0]
             if len(marks) != len(block) - 1:
-                other.update(block)
+                other += block
                 continue
-            raw, width = ids.tobytes(), self.dtype.itemsize
+            raw = ids.tobytes()
             for piece, begin, end in zip(block, [0, *((marks + 1) * width).tolist()], [*(marks * width).tolist(), len(raw)]):
                 out[piece] = raw[begin:end]
-        out.update((piece, ids.tobytes()) for piece, ids in zip(other, self._encoded(list(other))))
-        return out
+        return out | self._encoded_apart(other)
 
-    def _learned(self, pieces: list[str]) -> dict[str, bytes]:
+    def _encoded_apart(self, pieces: list[str]) -> dict[str, bytes]:
+        return {piece: ids.tobytes() for piece, ids in zip(pieces, self._encoded(pieces))} if pieces else {}
+
+    def _learned(self, chunks: list[str], plain: bool) -> dict[str, bytes]:
+        """Known ids, among them those of all ``chunks``. A new plain chunk is put together of its pieces, which other chunks share."""
         young = self.pieces.ready()
-        missing = {piece for piece in pieces if piece not in young}
-        if missing:
-            young.update(self._pieces_encoded(self.pieces.unknown(missing)))
+        new = self.pieces.unknown(set(chunks).difference(young))
+        if not plain:
+            young.update(self._encoded_apart(new))
+        elif new:
+            parts = {chunk: PIECE.findall(chunk) for chunk in new}
+            wanted = {piece for found in parts.values() for piece in found}
+            young.update(self._encoded_together(self.pieces.unknown(wanted.difference(young))))
+            for chunk, found in parts.items():
+                if chunk not in young:
+                    young[chunk] = b"".join([young[piece] for piece in found])
         return young
 
     def ids(self, text: str | None) -> bytes:
         """The ids of a text as bytes of ``dtype``; none for a null or empty text."""
         if not text:
             return b""
-        if PLAIN.fullmatch(text) and text[0] not in " \n" and text[-1] not in " \n" and not any(pair in text for pair in ADJACENT):
-            pieces = PIECE.findall(text)
-        else:
-            pieces = ANYWHERE.split(text)
-        known = self._learned(pieces)
-        return b"".join([known[piece] for piece in pieces])
+        plain = bool(PLAIN.fullmatch(text)) and text[0] not in " \n" and text[-1] not in " \n" and not any(pair in text for pair in ADJACENT)
+        chunks = text.replace(" ", CUT + " ").replace("\n", CUT + "\n").split(CUT) if plain else ANYWHERE.split(text)
+        return b"".join(map(self._learned(chunks, plain).__getitem__, chunks))
