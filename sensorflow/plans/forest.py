@@ -3,21 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import IndexToString, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorflow.operators.split import hash_split, with_fold
-from sensorflow.schema import INDEXED_LABEL, LABEL, PREDICTED_LABEL, SEED, SUBJECT
-
-FEATURES = "features"
+from sensorflow.plans.nested import count_hits, nested_forests
+from sensorflow.schema import FEATURES, INDEXED_LABEL, LABEL, PREDICTED_LABEL, SEED, SUBJECT
+from sensorflow.sources.storage import shared_folder
 
 # Forest settings and tuning grid.
 TREES, DEPTH, MIN_GAIN = 100, 5, 0.01
@@ -25,6 +26,7 @@ GRID_DEPTHS, GRID_GAINS, GRID_TREES = (0, 1, 5), (0.01, 0.001), (5, 10, 30, 100)
 FOLDS = 5
 
 ROWS_PER_PARTITION = 20_000
+ROWS_AT_ONCE = 4_000_000
 FOLD = "_fold"
 
 
@@ -107,29 +109,40 @@ def tune(
 ) -> TunedForest:
     """Cross-validated grid search by accuracy, best forest refitted on all of ``training``.
 
-    Only the forest is searched: rows are indexed and assembled before the
-    folds, not once per fit. Without ``fold_column`` a hash of ``key`` gives the fold.
+    Only the forest is searched: rows are indexed, assembled and laid out once. Without ``fold_column`` a hash of ``key``
+    gives the fold. Per fold the forests of all grid points come out of one fit (:mod:`~sensorflow.plans.nested`), and one
+    pass over the fold's rows scores them all. Folds are fitted side by side, at most ``parallelism`` and
+    about ROWS_AT_ONCE rows at a time.
     """
+    spark = training.sparkSession
     indexer = indexer or index_labels(training)
     assembler = assemble(columns)
     estimator = RandomForestClassifier(labelCol=INDEXED_LABEL, featuresCol=FEATURES, seed=seed)
     points = tuning_grid(estimator, **grid)
-    accuracy = MulticlassClassificationEvaluator(labelCol=INDEXED_LABEL, predictionCol="prediction", metricName="accuracy")
-    search = CrossValidator(
-        estimator=estimator,
-        estimatorParamMaps=points,
-        evaluator=accuracy,
-        numFolds=folds,
-        foldCol=fold_column or FOLD,
-        parallelism=parallelism,
-        seed=seed,
-    )
+    fold = fold_column or FOLD
     folded = training if fold_column else with_fold(training, key, folds, FOLD)
-    rows = assembler.transform(indexer.transform(placed(folded, key, training.count())))
-    found = search.fit(rows.select(INDEXED_LABEL, FEATURES, fold_column or FOLD))
-    model = PipelineModel([indexer, assembler, found.bestModel, name_predictions(indexer)])
+    sizes = dict(folded.groupBy(fold).count().limit(folds + 1).collect())
+    if set(sizes) != set(range(folds)) or folds < 2:
+        raise ValueError(f"every fold from 0 to {folds - 1} needs rows, and no row may be in another one; found {sorted(sizes, key=str)}")
+    total = sum(sizes.values())
+    laid = placed(folded.select(*dict.fromkeys([*key, LABEL, *columns, fold])), key, total).persist(StorageLevel.DISK_ONLY)
+    try:
+        rows = assembler.transform(indexer.transform(laid)).select(INDEXED_LABEL, FEATURES, fold)
+
+        def score(number: int) -> list[float]:
+            models = nested_forests(estimator, points, rows.filter(F.col(fold) != number), shared_folder(spark, "forests"))
+            hits = count_hits(models, rows.filter(F.col(fold) == number))
+            return [hits[place] / sizes[number] for place in range(len(points))]
+
+        with ThreadPoolExecutor(max(1, min(parallelism, folds, ROWS_AT_ONCE // total))) as pool:
+            found = list(pool.map(inheritable_thread_target(spark)(score), range(folds)))
+        averages = [sum(scores) / folds for scores in zip(*found)]
+        best = estimator.fit(rows, points[max(range(len(points)), key=averages.__getitem__)])
+    finally:
+        laid.unpersist()
+    model = PipelineModel([indexer, assembler, best, name_predictions(indexer)])
     settings = [estimator.maxDepth, estimator.minInfoGain, estimator.numTrees]
-    scores = [(*[point[p] for p in settings], float(score)) for point, score in zip(points, found.avgMetrics)]
+    scores = [(*[point[p] for p in settings], score) for point, score in zip(points, averages)]
     return TunedForest(model, scores)
 
 
