@@ -77,7 +77,11 @@ def train(
     training, held_out = hash_split(prepared, key)
     laid = placed(training.select(*key, LABEL, *columns), key, prepared.count() if rows is None else rows)
     stages = [indexer, assemble(columns), forest(**settings), name_predictions(indexer)]
-    model = Pipeline(stages=stages).fit(laid)
+    laid.persist(StorageLevel.DISK_ONLY)  # every pass would shuffle and sort again
+    try:
+        model = Pipeline(stages=stages).fit(laid)
+    finally:
+        laid.unpersist()
     return model, model.transform(held_out)
 
 

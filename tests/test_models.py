@@ -19,6 +19,7 @@ from sensorflow.plans.forest import (
     tuning_grid,
 )
 from sensorflow.plans.run import run, run_files
+from sensorflow.sources.storage import compilable
 
 
 @pytest.fixture(scope="module")
@@ -79,6 +80,31 @@ def test_same_seed_same_predictions(series, trained):
     assert sorted(again) == sorted(trained[1].select("event_id", "probability").collect())
 
 
+def test_training_rows_are_laid_out_once(spark, series):
+    """Passes of the forest do not shuffle and sort the training rows again."""
+    rows, columns = series
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(value):
+        seen.add(1)
+        return value
+
+    train(rows.withColumn(columns[0], counted(columns[0])), columns, KEY, trees=3)
+    assert 0 < seen.value <= rows.count()
+
+
+def test_prepared_rows_are_written_with_code_that_is_compiled(spark, series):
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    with compilable(spark):
+        assert spark.conf.get(limit) == "8000"
+    assert spark.conf.get(limit) == "65535"
+    spark.conf.set(limit, "9000")
+    with compilable(spark):
+        assert spark.conf.get(limit) == "9000"
+    spark.conf.unset(limit)
+
+
 def test_importances_sum_to_one_and_find_the_acceleration(spark, trained):
     values = {r.feature: r.value for r in feature_importances(spark, {"a": trained[0]}).collect()}
     assert len(values) == 42
