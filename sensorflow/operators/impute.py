@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from sensorflow.schema import FILL_ROWS, HEART_RATE, SUBJECT, TIME
 
 ROWS_PER_TASK = 2_000_000
+# Chunks of long series are smaller than ROWS_PER_TASK while there would be fewer than CHUNKS_PER_CORE for a core.
+CHUNKS_PER_CORE = 4
+LEAST_CHUNK = 200_000
 MAX_CHUNKS = 10_000
 SAMPLES_PER_CHUNK = 16
 # Keeps microseconds when keys are passed as text.
@@ -36,7 +39,7 @@ def forward_fill(
 
     Series up to ``rows_per_task`` rows are filled by one window per series. A
     count per series, run here, finds longer ones. These are cut along the order
-    key into chunks of about that size, so no task ever holds a whole long
+    key into chunks of about that size, or smaller ones to give every core work, so no task ever holds a whole long
     series, and each chunk is told the value it inherits from the chunks before
     it. The result is the same. ``rows_per_task=None`` skips the count; use it
     only when series are known to be short.
@@ -53,11 +56,11 @@ def forward_fill(
     hot = _renamed(df.sparkSession.createDataFrame([row[:-1] for row in long_series], df.select(*by).schema), by)
     key = _unique(by + order_by)
     cuts, size = _cut_points(df, by, order_by, hot, target)
-    chunked = _with_chunk(df, key, cuts, size)
+    chunked = _dealt(_with_chunk(df, key, cuts, size), by, size + 1)
     narrow = _in_series(df.select(*_unique(key + [column])), hot, by)
     inherited = _inherited_values(_with_chunk(narrow, key, cuts, size), column, by, order_by, rows)
 
-    series = Window.partitionBy(*by, "_chunk").orderBy(*order_by)
+    series = Window.partitionBy("_place", *by, "_chunk").orderBy(*order_by)
     filled = chunked.select(
         "*",
         F.last(column, ignorenulls=True).over(series.rowsBetween(-rows, 0)).alias("_filled"),
@@ -86,10 +89,25 @@ def _long_series(df: DataFrame, by: list[str], rows_per_task: int, max_chunks: i
         .limit(max_chunks)
         .collect()
     )
-    target = max(rows_per_task, -(-sum(row["_rows"] for row in found) // max_chunks))
+    rows = sum(row["_rows"] for row in found)
+    even = max(LEAST_CHUNK, -(-rows // (CHUNKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)))
+    target = max(min(rows_per_task, even), -(-rows // max_chunks))
     return [row for row in found if row["_rows"] > target], target
 
 
+def _dealt(df: DataFrame, by: list[str], chunks: int) -> DataFrame:
+    """Chunks dealt to enough partitions that few share one, where the session has fewer.
+
+    They are dealt by a hash: windows do not partition by a series column of one fixed value, so dealt by the columns the rows would be shuffled again.
+    """
+    df = df.withColumn("_place", F.xxhash64(*by, "_chunk"))
+    spark = df.sparkSession
+    wanted = min(2 * chunks, 2 * CHUNKS_PER_CORE * spark.sparkContext.defaultParallelism)
+    if wanted <= int(spark.conf.get("spark.sql.shuffle.partitions")):
+        return df
+    return df.repartition(wanted, "_place")
+
+
 def _cut_points(
     df: DataFrame, by: list[str], order_by: list[str], hot: DataFrame, target: int
 ) -> tuple[Column, int]:

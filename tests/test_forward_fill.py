@@ -122,3 +122,11 @@ def test_chunks_are_about_the_wanted_size(spark):
     sizes = [r["count"] for r in _with_chunk(df, ["subject", "id"], cuts, size).groupBy("_chunk").count().collect()]
     assert sum(sizes) == 60_000
     assert max(sizes) < 20_000
+
+
+def test_a_long_series_gives_every_core_work(spark):
+    rows = 2_400_000
+    df = spark.range(rows).selectExpr("'hot' AS subject", "id", "CASE WHEN id % 30 = 0 THEN id END AS heart_rate")
+    filled = forward_fill(df, order_by=["id"]).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.count("heart_rate").alias("known")).collect()
+    assert sum(r.n for r in filled) == rows and sum(r.known for r in filled) == rows // 30 * 21
+    assert max(r.n for r in filled) < rows / 2 and len(filled) >= 4
