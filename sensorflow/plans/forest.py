@@ -129,9 +129,10 @@ def tune(
     if set(sizes) != set(range(folds)) or folds < 2:
         raise ValueError(f"every fold from 0 to {folds - 1} needs rows, and no row may be in another one; found {sorted(sizes, key=str)}")
     total = sum(sizes.values())
-    laid = placed(folded.select(*dict.fromkeys([*key, LABEL, *columns, fold])), key, total).persist(StorageLevel.DISK_ONLY)
+    laid = placed(folded.select(*dict.fromkeys([*key, LABEL, *columns, fold])), key, total)
+    # Each fit reads its rows four times: indexed and assembled before they are stored, not in every pass.
+    rows = assembler.transform(indexer.transform(laid)).select(INDEXED_LABEL, FEATURES, fold).persist(StorageLevel.DISK_ONLY)
     try:
-        rows = assembler.transform(indexer.transform(laid)).select(INDEXED_LABEL, FEATURES, fold)
 
         def score(number: int) -> list[float]:
             models = nested_forests(estimator, points, rows.filter(F.col(fold) != number), shared_folder(spark, "forests"))
@@ -143,7 +144,7 @@ def tune(
         averages = [sum(scores) / folds for scores in zip(*found)]
         best = estimator.fit(rows, points[max(range(len(points)), key=averages.__getitem__)])
     finally:
-        laid.unpersist()
+        rows.unpersist()
     model = PipelineModel([indexer, assembler, best, name_predictions(indexer)])
     settings = [estimator.maxDepth, estimator.minInfoGain, estimator.numTrees]
     scores = [(*[point[p] for p in settings], score) for point, score in zip(points, averages)]

@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -63,7 +63,7 @@ def count_hits(forests: Sequence[NestedForests], rows: DataFrame) -> dict[int, i
     found = {}
     for forest in forests:
         leaves = forest.model.transform(rows).select(F.col(INDEXED_LABEL).alias("label"), vector_to_array(LEAVES).alias("leaves"))
-        hits = leaves.mapInPandas(_hits_of(forest.points, forest.shares), "place int, hits long")
+        hits = leaves.mapInArrow(_hits_of(forest.points, forest.shares), "place int, hits long")
         found |= {place: 0 for place, *_ in forest.points}
         found |= dict(hits.groupBy("place").agg(F.sum("hits")).collect())
     return found
@@ -108,23 +108,32 @@ def _share(node: Row) -> np.ndarray:
     return counts / (counts.sum() or 1.0)
 
 
-def _hits_of(points: list, shares: dict) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """The trees' shares are added in the model's order; the first class with the most wins, as in the model."""
+def _hits_of(points: list, shares: dict) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The trees' shares are added in the model's order; the first class with the most wins, as in the model.
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Cuts that give all leaves the same shares are counted together.
+    """
+    alike = {}
+    for cut, given in shares.items():
+        alike.setdefault(given.tobytes(), (given, []))[1].extend((place, trees) for place, same, trees in points if same == cut)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hits = dict.fromkeys((place for place, *_ in points), 0)
         for batch in batches:
-            for start in range(0, len(batch), ROWS_AT_A_TIME):
-                part = batch.iloc[start : start + ROWS_AT_A_TIME]
-                label = part["label"].to_numpy()
-                leaves = np.stack(part["leaves"].to_numpy()).astype(np.int64)
-                for cut, given in shares.items():
-                    votes = np.zeros((len(part), given.shape[2]))
+            for start in range(0, batch.num_rows, ROWS_AT_A_TIME):
+                part = batch.slice(start, ROWS_AT_A_TIME)
+                label = part.column(0).to_numpy()
+                leaves = part.column(1).flatten().to_numpy().reshape(len(label), -1).T.astype(np.int64, order="C")
+                for given, held in alike.values():
+                    votes = np.zeros((len(label), given.shape[2]))
                     for tree in range(len(given)):
-                        votes += given[tree, leaves[:, tree]]
-                        for place in (place for place, same, trees in points if same == cut and trees == tree + 1):
+                        votes += given[tree].take(leaves[tree], axis=0)
+                        places = [place for place, trees in held if trees == tree + 1]
+                        if places:
                             predicted = (votes / votes.sum(axis=1, keepdims=True)).argmax(axis=1)
-                            hits[place] += int((predicted == label).sum())
-        yield pd.DataFrame({"place": list(hits), "hits": list(hits.values())}).astype({"place": "int32", "hits": "int64"})
+                            right = int((predicted == label).sum())
+                            for place in places:
+                                hits[place] += right
+        yield pa.RecordBatch.from_pydict({"place": pa.array(list(hits), pa.int32()), "hits": pa.array(list(hits.values()), pa.int64())})
 
     return count

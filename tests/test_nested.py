@@ -56,6 +56,33 @@ def test_a_grid_search_fits_one_forest_a_fold_and_the_best(spark, weak, monkeypa
     assert (tuned.model.stages[2].getMaxDepth(), tuned.model.stages[2].getNumTrees) == (best[0], best[2])
 
 
+def test_a_grid_search_assembles_features_once(spark, weak, monkeypatch):
+    """What fits and scoring read is stored with its features: no row function above the stored table."""
+    plans, fit = [], RandomForestClassifier._fit
+
+    def seen(self, df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return fit(self, df)
+
+    monkeypatch.setattr(RandomForestClassifier, "_fit", seen)
+    rows = weak.select("id", "a", "b", "c", "d", F.concat(F.lit("l"), F.col(INDEXED_LABEL).cast("int")).alias(LABEL))
+    tune(rows, ["a", "b", "c", "d"], ["id"], folds=2, depths=(2,), gains=(0.01,), trees=(2,))
+    assert len(plans) == 3
+    for text in plans:
+        above, _, stored = text.partition("InMemoryRelation")
+        assert "UDF(" not in above and "features" in stored.partition("]")[0]
+
+
+def test_hits_do_not_depend_on_batches(spark, weak, tmp_path):
+    estimator = RandomForestClassifier(labelCol=INDEXED_LABEL, featuresCol=FEATURES, seed=7)
+    points = tuning_grid(estimator, (0, 2, 4), (0.01, 0.0), (2, 5))
+    forests = nested_forests(estimator, points, weak, f"file://{tmp_path}")
+    whole = count_hits(forests, weak)
+    assert sum(whole.values()) > 0 and count_hits(forests, weak.filter("id < 0")) == dict.fromkeys(whole, 0)
+    parts = [count_hits(forests, weak.repartition(5).filter(f"id % 3 = {k}")) for k in range(3)]
+    assert {place: sum(part[place] for part in parts) for place in whole} == whole
+
+
 def test_a_fold_without_rows_is_an_error(weak):
     rows = weak.select("id", "a", F.lit("x").alias(LABEL), (F.col("id") % 2).cast("int").alias("fold"))
     with pytest.raises(ValueError, match="every fold"):
