@@ -26,7 +26,7 @@ GRID_DEPTHS, GRID_GAINS, GRID_TREES = (0, 1, 5), (0.01, 0.001), (5, 10, 30, 100)
 FOLDS = 5
 
 ROWS_PER_PARTITION = 20_000
-ROWS_AT_ONCE = 4_000_000
+ROWS_AT_ONCE = 8_000_000
 FOLD = "_fold"
 
 
